@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketgrain.operators.impute import fill_offers
 from marketgrain.operators.intervals import periods_and_gaps
+from marketgrain.operators.units import stored_otherwise, with_common_units
 from marketgrain.operators.versions import version_history
 from marketgrain.session import table
 
@@ -19,6 +21,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "kind", _day("day_from"), _day("day_until"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_otherwise(with_common_units(table(spark, sf_dir, "offers"))).select("ord", "field")
+
+
+def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row in common units, with the unit in which the stored numbers were recorded and how sure that is."""
+    units = with_common_units(table(spark, sf_dir, "offers"))
+    return units.select("ord", F.round("content", 3).alias("content"), "content_from", F.round("unit_price", 2).alias("unit_price"), "weight_unit", "price_unit", "route")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = version_history(table(spark, sf_dir, "all_products"))
     return out.select("product_id", _day("version_from"), _day("version_until"))
@@ -30,7 +42,16 @@ def p6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("product_id", F.col("new_price").cast("bigint").alias("price_cents"), F.col("health_score").cast("int").alias("health_score"), F.col("image").alias("picture"), _day("version_from"), _day("version_until"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_history": p6_history}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_offers(table(spark, sf_dir, "offers")).select("ord", "field")
+
+
+def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing value with what fills it and the way it was filled."""
+    return fill_offers(table(spark, sf_dir, "offers"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_filled": p7_filled, "p3_found": p3_found, "p4_found": p4_found, "p4_units": p4_units, "p6_found": p6_found, "p6_history": p6_history}
 
 _P6 = r"""
 WITH d AS (SELECT product_id, CAST(generated_at AS DATE) AS day, generated_at, snap_id, CAST(round(new_price * 100) AS BIGINT) AS c, health_score AS h,
