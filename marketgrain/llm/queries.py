@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketgrain.llm.glyphs import ordinary_spelling
+from marketgrain.llm.leakage import leaked_items
+from marketgrain.llm.sentences import sentences
 from marketgrain.session import table
 
 
@@ -17,5 +19,13 @@ def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinary_spelling(table(spark, sf_dir, "offers"), "ord", "name").select("ord", "spelled", "differs")
 
 
-QUERIES = {"p5_found": p5_found, "p5_names": p5_names}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("item_id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents")).distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p10_found": p10_found, "p5_found": p5_found, "p5_names": p5_names}
 SQL: dict[str, str] = {}
