@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketgrain.llm.glyphs import ordinary_spelling
 from marketgrain.llm.leakage import leaked_items
+from marketgrain.llm.listings import product_groups, same_product_pairs
 from marketgrain.llm.sentences import sentences
 from marketgrain.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_product_pairs(product_groups(table(spark, sf_dir, "offers")))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with the smallest listing of its product, and the number of listings."""
+    groups = product_groups(table(spark, sf_dir, "offers"))
+    sizes = groups.groupBy("product").agg(F.min("id").alias("first_id"), F.count("*").cast("bigint").alias("listings"))
+    return groups.join(sizes, "product").select("id", "first_id", "listings")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinary_spelling(table(spark, sf_dir, "offers"), "ord", "name").where("differs").select("ord")
 
@@ -24,8 +37,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(table(spark, sf_dir, "documents")).distinct()
+    return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p10_found": p10_found, "p5_found": p5_found, "p5_names": p5_names}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p8_found": p8_found, "p10_found": p10_found, "p5_found": p5_found, "p5_names": p5_names}
 SQL: dict[str, str] = {}
