@@ -37,7 +37,7 @@ MANY_FIRST = rf"{_BEFORE}(\d{{1,3}}){_EACH}({_NUMBER})\s*({_UNIT})\.?{_END}"
 #: number, unit, pieces
 MANY_LAST = rf"{_BEFORE}({_NUMBER})\s*({_UNIT})\.?{_TIMES}(\d{{1,3}}){_END}"
 ONE = rf"{_BEFORE}({_NUMBER})\s*({_UNIT})\.?{_END}"
-COUNT = rf"{_BEFORE}(\d{{1,4}})\s*(?:бp(?:oя|oй)?|pcs?|pieces?)\.?{_END}(?!\s*пo\s+\d)"
+COUNT = rf"{_BEFORE}(\d{{1,4}})\s*(?:бp(?:oя|oй)?|pcs?|pieces?)\.?+{_END}(?!\s*пo\s+\d)"
 
 
 def measure_form(text: Column) -> Column:

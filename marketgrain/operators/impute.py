@@ -206,7 +206,7 @@ def fill_offers(offers: DataFrame, k: int = 96, rounds: int = 3) -> DataFrame:
 
     def macro_stats(keys: list[str], out: str) -> DataFrame:
         values = F.concat_ws("/", *[F.format_string("%.1f", F.percentile_approx(f"macros.{m}", 0.5, 1000)) for m in MACROS])
-        return rows.where("_true").groupBy(*keys).agg(values.alias(out))
+        return rows.where("_true").groupBy(*keys).agg(F.when(F.count("*") > 0, values).alias(out))
 
     def category_stats(keys: list[str], out: str) -> DataFrame:
         counts = rows.where("_category IS NOT NULL").groupBy(*keys, "_category").agg(F.count("*").alias("n"))

@@ -109,8 +109,16 @@ def html_cards(pages: DataFrame, card: str, fields: dict[str, str], url: str = "
 
 
 def decoded(content: Column, fallback: str = "windows-1251") -> Column:
-    """Text of bytes: UTF-8, or the fallback encoding where they are no valid UTF-8."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, fallback))
+    """Text of bytes: UTF-8, or the fallback encoding where they are no valid UTF-8 (Spark decodes Unicode and Latin
+    encodings only, so the fallback is an Arrow batch UDF; it sees only the rows that need it).
+    """
+
+    @F.pandas_udf(T.StringType())
+    def other(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda b: None if b is None else bytes(b).decode(fallback, "replace"))
+
+    good = F.is_valid_utf8(content.cast("string"))
+    return F.coalesce(F.when(good, content.cast("string")), other(F.when(~good, content)))
 
 
 def paired_prices(texts: Column) -> Column:
