@@ -22,6 +22,8 @@ from marketgrain.llm.glyphs import SHAPES, TOP, _rows, ordinary, tables, to_poin
 #: Most test items that are sent to every executor (their grams are a few kilobytes an item).
 MOST_ITEMS = 20000
 BAND = 48
+#: Least score of an alignment by letter: about one changed word in eight.
+LEAST_SCORE = 0.5
 _HAN = 1 << 20
 
 
@@ -144,7 +146,7 @@ def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.
 def align(index: ItemIndex, letters: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, middle: np.ndarray, width: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment within the band of each candidate: first and end letter of the item, and score.
 
-    A match scores 1, a change or a gap -1. Scores and the (early) start of the alignment are kept in one integer, so a
+    A match scores 1, a change or a gap -2, so that texts which only share letters do not prolong it. Scores and the (early) start of the alignment are kept in one integer, so a
     row of the band is a handful of array operations for all candidates.
     """
     n, size = len(row), 2 * width + 1
@@ -158,15 +160,15 @@ def align(index: ItemIndex, letters: np.ndarray, at: np.ndarray, row: np.ndarray
     value = np.full((n, size), one - 1, np.int64)
     best, best_end = np.zeros(n, np.int64), np.zeros(n, np.int64)
     begin, end = at[row], at[row + 1]
-    ramp = np.arange(size) * one
+    ramp = np.arange(size) * 2 * one
     for i in range(longest):
         j = begin[:, None] + (i + middle)[:, None] + offsets[None, :]
         inside = (j >= begin[:, None]) & (j < end[:, None])
         same = np.where(inside, letters[np.clip(j, 0, max(len(letters) - 1, 0))] == own[:, i : i + 1], False)
         fresh = one - 1 - i  # score 0, start at i
-        step = value + np.where(same, one, -one)
+        step = value + np.where(same, one, -2 * one)
         up = np.full_like(value, fresh)
-        up[:, :-1] = value[:, 1:] - one
+        up[:, :-1] = value[:, 1:] - 2 * one
         step = np.maximum(np.maximum(step, up), fresh)
         step = np.maximum.accumulate(step + ramp, axis=1) - ramp
         value = np.where(inside, np.maximum(step, fresh), fresh)
@@ -190,7 +192,7 @@ def _leaks(index: ItemIndex, part: float):
                     words, s, e = index.words[i[k]], start[k], end[k]
                     total = words[-1] + 1
                     whole = _whole_words(words, s, e)
-                    if score[k] >= 0.6 * (e - s) and whole >= part * total:
+                    if score[k] >= LEAST_SCORE * (e - s) and whole >= part * total:
                         out_row.append(r[k])
                         out_item.append(i[k])
                         share.append(whole / total)

@@ -87,7 +87,7 @@ def schedule_time(part: Column, slope: Column) -> Column:
     """
     b = 1 - slope
     root = F.sqrt(F.greatest(b * b + 4 * slope * part, F.lit(0.0)))
-    return F.when(F.abs(slope) < 1e-9, part).otherwise(2 * part / (b + root))
+    return F.when(F.abs(slope) < 1e-9, part).otherwise(F.coalesce(F.try_divide(2 * part, b + root), F.lit(0.0)))
 
 
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER, total: int | None = None, slopes: dict[str, float] | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
