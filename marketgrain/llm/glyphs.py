@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,17 @@ def to_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, count[offsets - offsets[0]]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes of text (at least a row), as arrays of code points take many
+    times the memory of the text.
+    """
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes) // most
+    begins = np.flatnonzero(np.diff(run, prepend=-1))
+    for a, b in zip(begins, np.append(begins[1:], len(sizes)), strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 def from_points(points: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Strings of the code points between the offsets."""
     data = points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
@@ -221,7 +233,7 @@ _COUNT = "kind int, h long, script int, reading long, own int, share int, n long
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: counts of pure words (kind 0: h, script) and the readings of odd ones (kind 1)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         w = Words(*ordinary(*to_points(batch.column(0))))
         out: list[list[np.ndarray]] = []
         key = np.stack([w.low[w.pure], w.own[w.pure]])
@@ -261,7 +273,7 @@ def home_alphabets(df: DataFrame, text: str) -> DataFrame:
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Steps 1 to 3 of each row, and its odd words as (place, length, form)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         points, offsets = to_points(batch.column(1))
         new, at = ordinary(points, offsets)
         w = Words(new, at)
@@ -280,7 +292,7 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlay of the words' home letters: (row, text, spelled, moves) to (row, text, spelled)."""
     t = tables()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         points, offsets = to_points(batch.column(2))
         points = points.copy()
         moves = batch.column(3)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.glyphs import SHAPES, TOP, _rows, ordinary, tables, to_points
+from marketgrain.llm.glyphs import SHAPES, TOP, _rows, ordinary, slices, tables, to_points
 
 #: Most test items that are sent to every executor (their grams are a few kilobytes an item).
 MOST_ITEMS = 20000
@@ -181,7 +181,7 @@ def align(index: ItemIndex, letters: np.ndarray, at: np.ndarray, row: np.ndarray
 
 def _leaks(index: ItemIndex, part: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             letters, rows, at, _ = stream(batch.column(1))
             row, item, middle = _candidates(index, letters, rows, at)
             out_row, out_item, share = [], [], []
