@@ -24,13 +24,22 @@ def _class(pattern: str) -> str:
     return _quoted("".join(c if ord(c) < 128 else rf"\x{{{ord(c):X}}}" for c in pattern))
 
 
-def form(text: str) -> str:
+def plain(text: str) -> str:
+    """``functions.text.plain`` of a SQL expression."""
     wide = "".join(chr(o) for o in range(0xFF01, 0xFF5F))
-    plain = "".join(chr(o) for o in range(0x21, 0x7F))
-    t = f"regexp_replace(translate({text}, {_quoted(wide)}, {_quoted(plain)}), {_class(INVISIBLE)}, '', 'g')"
-    t = f"lower(trim(regexp_replace({t}, {_class(BLANKS)}, ' ', 'g')))"
-    t = f"translate({t}, 'асеорхуіјѕкмтвнοανρικτ', 'aceopxyijskmtbhoavpikt')"
-    t = rf"regexp_replace({t}, 'пoлo?bиh(?:ka)?( ?\p{{L}})', '0.5\1', 'g')"
+    ascii_ = "".join(chr(o) for o in range(0x21, 0x7F))
+    t = f"regexp_replace(translate({text}, {_quoted(wide)}, {_quoted(ascii_)}), {_class(INVISIBLE)}, '', 'g')"
+    return f"lower(trim(regexp_replace({t}, {_class(BLANKS)}, ' ', 'g')))"
+
+
+def folded(text: str) -> str:
+    """``plain`` with look-alike letters made one."""
+    return f"translate({plain(text)}, 'асеорхуіјѕкмтвнοανρικτ', 'aceopxyijskmtbhoavpikt')"
+
+
+def form(text: str) -> str:
+    """``functions.measure.measure_form`` of a SQL expression."""
+    t = rf"regexp_replace({folded(text)}, 'пoлo?bиh(?:ka)?( ?\p{{L}})', '0.5\1', 'g')"
     t = rf"regexp_replace({t}, '(^|[^\d/])1/2($|[^\d/])', '\1 0.5\2', 'g')"
     t = rf"replace({t}, '½', '0.5')"
     return rf"replace(regexp_replace({t}, '(^|[^\d/])1/4($|[^\d/])', '\1 0.25\2', 'g'), '¼', '0.25')"

@@ -9,6 +9,7 @@ from marketgrain.operators.impute import fill_offers
 from marketgrain.operators.intervals import periods_and_gaps
 from marketgrain.operators.units import TOLERANCE, stored_otherwise, with_common_units
 from marketgrain.operators.versions import version_history
+from marketgrain.plans.impute_sql import MISSING
 from marketgrain.plans.measure_sql import differing
 from marketgrain.session import table
 
@@ -70,6 +71,7 @@ SELECT product_id, {cols} strftime(day, '%Y-%m-%d') AS version_from,
 
 SQL = {
     "p4_found": differing(TOLERANCE),
+    "p7_found": MISSING,
     "p3_found": """
 WITH r AS (SELECT DISTINCT id, valid_from AS a, valid_until AS b FROM offers WHERE id IS NOT NULL AND valid_from <= valid_until),
 m AS (SELECT *, max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
