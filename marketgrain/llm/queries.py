@@ -10,6 +10,7 @@ from marketgrain.llm.leakage import leaked_items
 from marketgrain.llm.listings import product_groups, same_product_pairs
 from marketgrain.llm.mixing import mix
 from marketgrain.llm.sentences import sentences
+from marketgrain.llm.sql import P2_FOUND
 from marketgrain.llm.survivors import survivors
 from marketgrain.session import table
 
@@ -69,4 +70,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_mixture": p9_mixture, "p9_positions": p9_positions, "p9_shares": p9_shares, "p2_found": p2_found, "p2_survivors": p2_survivors, "p1_found": p1_found, "p1_groups": p1_groups, "p8_found": p8_found, "p10_found": p10_found, "p5_found": p5_found, "p5_names": p5_names}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": P2_FOUND}
