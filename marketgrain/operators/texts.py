@@ -49,12 +49,13 @@ def assemble_names(near: DataFrame, key: str, text: str, y: str, x: str, noise:
     return lines.select(key, F.array_join(F.array_distinct(good), " ").alias("name"))
 
 
-def pack(df: DataFrame, group: str, order: str, text: str, most: int = 4500) -> DataFrame:
-    """Greedy packing of each group's texts, in order, into chunks of at most ``most`` characters.
+def pack(df: DataFrame, group: str, order: str, size: str, most: int = 4500) -> DataFrame:
+    """Greedy packing of each group's texts, in order, into chunks of at most ``most`` characters, by their ``size``.
 
     Added is ``chunk``, from 0. A text goes to the next chunk when it no longer fits; one that is longer than a chunk
-    has a chunk of its own. The running sum with reset is no window, so it is folded over groups in sorted partitions:
-    batches stream through and a group is never gathered. Null texts count as empty.
+    has a chunk of its own. The running sum with reset is no window and has no parallel form within a group, so it is
+    folded over sorted partitions: batches stream through and a group is never gathered. Give sizes and keys only, so
+    that a large group moves numbers and no texts. Null sizes count as 0.
     """
     schema = df.withColumn("chunk", F.lit(0)).schema
 
@@ -62,14 +63,13 @@ def pack(df: DataFrame, group: str, order: str, text: str, most: int = 4500) ->
         at, chunk, used = object(), 0, 0
         for batch in batches:
             chunks = []
-            for g, t in zip(batch[group], batch[text], strict=True):
-                size = len(t) if isinstance(t, str) else 0
+            for g, n in zip(batch[group], batch[size].fillna(0), strict=True):
                 g = None if pd.isna(g) else g
                 if g != at or (g is None) != (at is None):
                     at, chunk, used = g, 0, 0
-                elif used + size > most and used > 0:
+                elif used + n > most and used > 0:
                     chunk, used = chunk + 1, 0
-                used += size
+                used += n
                 chunks.append(chunk)
             batch["chunk"] = pd.Series(chunks, dtype="int32", index=batch.index)
             yield batch

@@ -426,8 +426,8 @@ def daily_completion(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def documents_in_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each source packed, in order, into chunks of at most 4500 characters: a running sum with reset."""
-    docs = table(spark, d, "documents").select("source", "doc_id", "text")
-    return texts.pack(docs, "source", "doc_id", "text").groupBy("source", "chunk").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("characters"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size"))
+    return texts.pack(docs, "source", "doc_id", "size").groupBy("source", "chunk").agg(F.count("*").alias("texts"), F.sum("size").alias("characters"))
 
 
 @query("""SELECT url, store FROM brochures WHERE (valid_from IS NULL OR valid_from <= DATE '2025-03-10') AND (valid_until IS NULL OR valid_until >= DATE '2025-03-10') AND valid_from IS NOT NULL AND valid_until IS NOT NULL""")
