@@ -22,8 +22,8 @@ from marketgrain.llm.glyphs import SHAPES, TOP, _rows, ordinary, slices, tables,
 #: Most test items that are sent to every executor (their grams are a few kilobytes an item).
 MOST_ITEMS = 20000
 BAND = 48
-#: Least score of an alignment by letter: about one changed word in eight.
-LEAST_SCORE = 0.5
+#: Least score of an alignment by letter: about one changed word in ten.
+LEAST_SCORE = 0.6
 _HAN = 1 << 20
 
 
