@@ -187,22 +187,23 @@ def fill_offers(offers: DataFrame, k: int = 96, rounds: int = 3) -> DataFrame:
     in full give the same values; an empty table gives no rows; columns beginning with an underscore are the operator's.
     """
     words = head_vocabulary(offers, "name", "emoji")
-    rows = with_true_macros(with_head(offers, "name", words))
-    spread = stand_ins(offers, "category", "emoji").join(offers.select(F.col("category").alias("_v")).distinct(), "_v", "left_semi")
-    rows = rows.join(spread.withColumn("_spread", F.lit(True)), F.col("category") == F.col("_v"), "left").drop("_v")
-    no_category = blank_value(F.col("category")) | F.coalesce(F.col("_spread"), F.lit(False))
     discounted = F.coalesce(F.col("discount_pct") > 0, F.lit(False))
-    rows = rows.select(
-        "ord", "new_price", "old_price", "discount_pct", "macros", "_head", F.col("emoji").alias("_parent"), F.when(~no_category, F.col("category")).alias("_category"), "_true",
-        (F.coalesce(F.col("is_food"), F.lit(False)) & ~F.col("_true")).alias("_no_macros"), no_category.alias("_no_category"), (discounted & ~discount_leads()).alias("_no_old"), discounted.alias("_discounted"),
+    headed = with_head(offers, "name", words).select(
+        "ord", "new_price", "discount_pct", "category", F.struct(*[f"macros.{m}" for m in MACROS]).alias("macros"), "_head", F.col("emoji").alias("_parent"), F.coalesce("is_food", F.lit(False)).alias("_food"), blank_value(F.col("category")).alias("_blank"),
+        (discounted & ~discount_leads()).alias("_no_old"), discounted.alias("_discounted"), (F.col("old_price") / F.nullif("new_price", F.lit(0.0))).alias("_ratio"),
         F.log10(F.when(F.col("new_price") > 0, F.col("new_price"))).alias("_price"), F.log10(F.when(F.col("weight_grams") > 0, F.col("weight_grams"))).alias("_weight"), (F.col("health_score") / 3).alias("_health"), plain(F.col("store")).alias("_store"),
         F.concat_ws("", *[F.col(c).cast("int").cast("string") for c in ("is_food", "is_healthy", "is_bulk_worthy", "is_long_lasting", "is_junk", "is_high_protein")]).alias("_flags"),
     )
+    rows = with_true_macros(cut(headed))  # texts are read once, the rows are used in every round
+    spread = stand_ins(offers, "category", "emoji").withColumn("_spread", F.lit(True))
+    rows = rows.join(spread, F.col("category") == F.col("_v"), "left").drop("_v")
+    no_category = F.col("_blank") | F.coalesce(F.col("_spread"), F.lit(False))
+    rows = rows.withColumns({"_category": F.when(~no_category, F.col("category")), "_no_category": no_category, "_no_macros": F.col("_food") & ~F.col("_true")}).drop("category", "_blank", "_spread", "_food")
     rows = cut(rows)
     numeric, categorical = ["_price", "_weight", "_health"], ["_head", "_parent", "_category", "_flags", "_store"]
     prototypes = fit_prototypes(rows, numeric, categorical, ["_parent", "_head"], [2.0, 2.0, 1.0, 0.5, 0.2], k, rounds)
     rows = assign(rows, numeric, categorical, prototypes) if prototypes else rows.withColumn("_cluster", F.lit(0))
-    rows = cut(rows.drop("_health", "_flags", "_store", "_weight", "_price"))
+    rows = cut(rows.drop("_health", "_flags", "_store", "_weight", "_price", "_head"))
 
     def macro_stats(keys: list[str], out: str) -> DataFrame:
         values = F.concat_ws("/", *[F.format_string("%.1f", F.percentile_approx(f"macros.{m}", 0.5, 1000)) for m in MACROS])
@@ -213,7 +214,7 @@ def fill_offers(offers: DataFrame, k: int = 96, rounds: int = 3) -> DataFrame:
         return counts.groupBy(*keys).agg(F.min_by("_category", F.struct(-F.col("n"), F.col("_category"))).alias(out))
 
     def price_stats(keys: list[str], out: str) -> DataFrame:
-        ratio = F.percentile_approx(F.col("old_price") / F.col("new_price"), 0.5, 1000)
+        ratio = F.percentile_approx("_ratio", 0.5, 1000)
         return rows.where(F.col("_discounted") & ~F.col("_no_old") & (F.col("new_price") > 0)).groupBy(*keys).agg(ratio.alias(out))
 
     def filled(missing: str, field: str, stats, levels: list[list[str]], value) -> DataFrame:
