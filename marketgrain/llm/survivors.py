@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketgrain.functions.text import plain
 from marketgrain.operators.impute import blank_value, head_vocabulary, with_head, with_true_macros
+from marketgrain.session import cut
 
 KEYS = ("id", "valid_from", "valid_until")
 #: A picture used for more listings than this, or for several categories, shows no particular item.
@@ -37,7 +38,8 @@ def stand_in_pictures(offers: DataFrame) -> DataFrame:
 
 def judged(offers: DataFrame) -> DataFrame:
     """``offers`` with ``_picture`` (the image shows the item) and ``_true`` (macros are complete)."""
-    rows = with_true_macros(with_head(offers, "name", head_vocabulary(offers, "name", "emoji")))
+    headed = with_head(offers, "name", head_vocabulary(offers, "name", "emoji")).drop("name", "emoji")
+    rows = with_true_macros(cut(headed))  # names are read once, the rows are used several times
     rows = rows.join(stand_in_pictures(offers).withColumn("_many", F.lit(True)), F.trim("image") == F.col("_stand_in"), "left").drop("_stand_in", "_head")
     given = F.col("image").isNotNull() & (F.trim("image") != "") & ~F.col("image").rlike(NO_PICTURE)
     return rows.withColumn("_picture", F.coalesce(given & ~F.coalesce(F.col("_many"), F.lit(False)), F.lit(False))).drop("_many")
@@ -53,7 +55,7 @@ def survivors(offers: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     no record has both). Groups of a single row stay as they are but for stand-ins. An empty table gives no rows.
     """
     own = ["ord", "source_type", "image", "macros", "generated_at"]
-    rows = judged(offers.select(*dict.fromkeys([*keys, *own, "name", "emoji", "category"]))).drop("name", "emoji", "category")
+    rows = judged(offers.select(*dict.fromkeys([*keys, *own, "name", "emoji", "category"]))).drop("category")
     full = F.col("_picture").cast("int") + F.col("_true").cast("int") + F.coalesce(F.trim("source_type") != "", F.lit(False)).cast("int")
     rows = rows.withColumns({"_full": full, "_trust": trust(F.col("source_type"))})
     w = Window.partitionBy(*keys).orderBy(F.desc("_full"), F.desc("_trust"), F.desc_nulls_last("generated_at"), F.asc_nulls_last("ord"))
