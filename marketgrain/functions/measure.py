@@ -73,8 +73,15 @@ def stated(text: Column) -> Column:
     def parts(t: Column) -> Column:
         got = lambda p, n, u, k: F.struct(F.regexp_extract(t, p, n).alias("n"), F.regexp_extract(t, p, u).alias("u"), (F.regexp_extract(t, p, k).try_cast("int") if k else F.lit(1)).alias("k"), F.lit(None).cast("int").alias("more"))
         two = F.struct(F.regexp_extract(t, TWO, 1).alias("n"), F.regexp_extract(t, TWO, 2).alias("u"), F.lit(1).alias("k"), F.regexp_extract(t, TWO, 3).try_cast("int").alias("more"))
-        best = F.when(t.rlike(TWO), two).when(t.rlike(MANY_FIRST), got(MANY_FIRST, 2, 3, 1)).when(t.rlike(MANY_LAST), got(MANY_LAST, 1, 2, 3)).when(t.rlike(ONE), got(ONE, 1, 2, 0))
-        return F.struct(best.alias("b"), F.regexp_extract(t, COUNT, 1).try_cast("int").alias("count"))
+        # the forms with several numbers are looked for only where their sign or word stands
+        best = (
+            F.when(~t.rlike(r"\d"), F.lit(None))
+            .when(t.rlike(r"\d\D{1,20}\d") & t.rlike(TWO), two)
+            .when(t.rlike(r"[x×*]|пo|of|by") & t.rlike(MANY_FIRST), got(MANY_FIRST, 2, 3, 1))
+            .when(t.rlike(r"[x×*]\s*\d") & t.rlike(MANY_LAST), got(MANY_LAST, 1, 2, 3))
+            .when(t.rlike(ONE), got(ONE, 1, 2, 0))
+        )
+        return F.struct(best.alias("b"), F.when(t.rlike(r"\d\s*[бp]"), F.regexp_extract(t, COUNT, 1).try_cast("int")).alias("count"))
 
     def result(s: Column) -> Column:
         return _bind(F.struct(_grams(s["b"]).alias("each"), s["b"]["k"].alias("k"), s["count"].alias("count")), whole)

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters without width: soft hyphen, zero-width space and joiners, direction and word-joiner marks, BOM.
-INVISIBLE = "[­͏؜᠎​-‏‪-‮⁠-⁤﻿]"
+INVISIBLE = "[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 #: Blanks that are not the plain one.
-BLANKS = "[\\s   -     　]+"
+BLANKS = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def full_width_to_plain(c: Column) -> Column:
@@ -20,15 +20,14 @@ def full_width_to_plain(c: Column) -> Column:
 
 def plain(c: Column) -> Column:
     """Lower-cased text of normal width with single blanks and nothing invisible; null stays null."""
-    c = F.regexp_replace(full_width_to_plain(c), INVISIBLE, "")
-    return F.lower(F.trim(F.regexp_replace(c, BLANKS, " ")))
+    odd = F.regexp_replace(F.regexp_replace(full_width_to_plain(c), INVISIBLE, ""), BLANKS, " ")
+    # most texts have nothing to replace, which one look tells
+    return F.lower(F.trim(F.when(c.rlike("[^ -~\\u0400-\\u04ff]|  "), odd).otherwise(c)))
 
 
-#: Letters of one shape, Latin and Cyrillic (lower case).
-LATIN_SHAPES = "abceghijkmnoprstuxy"
-CYRILLIC_SHAPES = "аьсегһіјктпорѕтихху"
-LOOKALIKE_LATIN = "aceopxyijskmtbhn"
-LOOKALIKE_CYRILLIC = "асеорхуіјѕкмтвнп"
+# Cyrillic and Greek letters that look like a Latin one in either case, and these Latin letters.
+LOOKALIKES = "асеорхуіјѕкмтвнοανρικτ"
+LATIN = "aceopxyijskmtbhoavpikt"
 
 
 def fold_lookalikes(c: Column) -> Column:
@@ -36,7 +35,7 @@ def fold_lookalikes(c: Column) -> Column:
 
     The result is only a comparison form: different spellings with look-alike letters become equal.
     """
-    return F.translate(F.lower(c), "асеорхуіјѕкмтвнοανρικτ", "aceopxyijskmtbhoavpikt")
+    return F.translate(F.lower(c), LOOKALIKES, LATIN)
 
 
 def store_key(c: Column) -> Column:

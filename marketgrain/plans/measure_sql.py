@@ -7,7 +7,7 @@ nothing is lost by it.
 from __future__ import annotations
 
 from marketgrain.functions import measure
-from marketgrain.functions.text import BLANKS, INVISIBLE
+from marketgrain.functions.text import BLANKS, INVISIBLE, LATIN, LOOKALIKES
 
 
 def _quoted(text: str) -> str:
@@ -34,7 +34,7 @@ def plain(text: str) -> str:
 
 def folded(text: str) -> str:
     """``plain`` with look-alike letters made one."""
-    return f"translate({plain(text)}, 'асеорхуіјѕкмтвнοανρικτ', 'aceopxyijskmtbhoavpikt')"
+    return f"translate({plain(text)}, '{LOOKALIKES}', '{LATIN}')"
 
 
 def form(text: str) -> str:
