@@ -133,6 +133,11 @@ def from_points(points: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(at.tobytes()), pa.py_buffer(data)).cast(pa.string())
 
 
+def _of(table: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Table entries of code points; those beyond the tables have the entry of the unassigned last one."""
+    return table[np.minimum(points, TOP - 1)]
+
+
 def _rows(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
@@ -145,16 +150,18 @@ def ordinary(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Ordinary width, blanks, hyphens and composed characters (steps 1 to 3)."""
     t, n = tables(), len(offsets) - 1
     rows = _rows(offsets)
-    points = np.minimum(points, TOP - 1)
-    size = t["width"][points].astype(np.int64)
-    if (size != 1).any() or (t["forms"][points, 0] != points).any():
+    size = _of(t["width"], points).astype(np.int64)
+    far = points >= TOP
+    size[far & (points >= 0xE0000) & (points <= 0xE01EF)] = 0  # tags and variation selectors
+    if (size != 1).any() or (_of(t["forms"][:, 0], points) != points).any():
         source = np.repeat(np.arange(len(points)), size)
         within = np.arange(len(source)) - np.repeat(np.cumsum(size) - size, size)
-        rows, points = rows[source], t["forms"][points[source], within]
-    while t["mark"][points].any():
+        old = points[source]
+        rows, points = rows[source], np.where(old >= TOP, old, t["forms"][np.minimum(old, TOP - 1), within])
+    while _of(t["mark"], points).any():
         pair = points[:-1].astype(np.int64) * TOP + points[1:]
         found = np.minimum(np.searchsorted(t["pair"], pair), len(t["pair"]) - 1)
-        hit = (t["pair"][found] == pair) & (rows[:-1] == rows[1:])
+        hit = (t["pair"][found] == pair) & (rows[:-1] == rows[1:]) & (points[1:] < TOP)
         hit[1:] &= ~hit[:-1]  # one mark at a time
         if not hit.any():
             break
@@ -198,7 +205,7 @@ class Words:
     def __init__(self, points: np.ndarray, offsets: np.ndarray) -> None:
         t = tables()
         rows = _rows(offsets)
-        is_letter = t["letter"][points]
+        is_letter = _of(t["letter"], points)
         begin = is_letter.copy()
         begin[1:] &= ~(is_letter[:-1] & (rows[1:] == rows[:-1]))
         index = np.flatnonzero(is_letter)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketgrain.llm.glyphs import SHAPES, TOP, _rows, ordinary, slices, tables, to_points
+from marketgrain.llm.glyphs import SHAPES, TOP, _of, _rows, ordinary, slices, tables, to_points
 
 #: Most test items that are sent to every executor (their grams are a few kilobytes an item).
 MOST_ITEMS = 20000
@@ -52,7 +52,7 @@ def stream(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     """Folded letters of all texts, their rows, offsets of the rows, and the number of each letter's word."""
     points, offsets = ordinary(*to_points(text))
     rows = _rows(offsets)
-    folded = _folds()[points]
+    folded = _of(_folds(), points)
     kept = folded > 0
     begins = kept.copy()
     begins[1:] &= ~(kept[:-1] & (rows[1:] == rows[:-1]))

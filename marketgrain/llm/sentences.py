@@ -53,8 +53,8 @@ _ENDS = ".!?…‼⁇⁈⁉。！？｡．।॥؟۔܀።፧။៕᙮"
 _WIDE = set("。！？｡।॥؟۔።፧။៕᙮")
 _OPEN, _CLOSE = "„«‹「『《〈“‟", "”»›」』》〉"
 _EVENT = re.compile(rf"[{re.escape(_ENDS)};;]+|[{_OPEN}{_CLOSE}\"()\[\]（）]")
-_HIDDEN = re.compile("[­​-‏⁠﻿]+")
-_WORD_BEFORE = re.compile(r"(?:[^\W\d_]|[ऀ-ॿ­​-‍⁠]|\.(?=[^\W\d_])|-(?=[^\W\d_]))+$")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+_WORD_BEFORE = re.compile(r"(?:[^\W\d_]|[\u0900-\u097f\u00ad\u200b-\u200d\u2060]|\.(?=[^\W\d_])|-(?=[^\W\d_]))+$")
 _NUMBER_BEFORE = re.compile(r"(?<![\w.,])(\d{1,2}(?:\.\d{1,2})?)$")
 _PAIR_BEFORE = re.compile(r"(?<!\w)([^\W\d_])\.\s([^\W\d_])$")
 _AFTER_END = re.compile(r"[^\W\d_]{4,}[!?.]\s+([^\W\d_])")

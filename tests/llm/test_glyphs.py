@@ -47,6 +47,11 @@ def test_cases(text, plain):
     assert spell([text]) == [plain]
 
 
+def test_beyond_the_tables():
+    far = "\U000f1234 x\U000e0041 \U0010fffd"
+    assert spell([far, "a"]) == ["\U000f1234 x \U0010fffd", "a"]
+
+
 def test_words_go_home(spark):
     good = ["Сос крем Маслото", "сос прясно мляко", "Best price NEW cat", "СОС ВОДА 4х85 г", "soap 4x85 g", "Προϊόν Ελλάδας"] * 8
     odd = {"Coc крем": "Сос крем", "прясно мляkо": None, "Bеst price": "Best price", "тοрба": "торба", "cаt": None, "BОДА": "ВОДА", "4x85 г": "4x85 г", None: None, "": "", "  ": ""}
