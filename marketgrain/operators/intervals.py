@@ -1,8 +1,8 @@
 """Continuous periods and gaps of overlapping intervals, by dyadic blocks.
 
 Every interval of whole days is cut into canonical dyadic blocks (level, index), i.e. aligned runs of 2**level
-days. Equal blocks of an entity collapse in the first (map-side) aggregation, so an entity that holds a third of
-all rows still has at most about two blocks per level and day of the calendar. Per entity, blocks that lie under
+days. Equal intervals of an entity collapse in a first aggregation with map-side combine, so an entity that holds a
+third of all rows is as small as its distinct intervals. Per entity, blocks that repeat or lie under
 a kept ancestor are dropped, sibling pairs are merged upward level by level, and what is left is coalesced.
 """
 
@@ -23,7 +23,7 @@ SHIFT = 1 << 21
 
 
 def dyadic_blocks(df: DataFrame, entity: str, day_from: str, day_until: str) -> DataFrame:
-    """One row (``entity``, lv, ix) for each distinct canonical block of the valid intervals of ``df``.
+    """Rows (``entity``, lv, ix): the canonical blocks of the distinct valid intervals of ``df``; blocks may repeat.
 
     Rows with a null day or ``day_from > day_until`` are no intervals and are left out.
     """
@@ -38,7 +38,7 @@ def dyadic_blocks(df: DataFrame, entity: str, day_from: str, day_until: str) ->
               IF((hi DIV shiftleft(1L, l)) % 2 = 1, named_struct('lv', l, 'ix', hi DIV shiftleft(1L, l) - 1), NULL)
             ), b -> b IS NOT NULL AND (lo + shiftleft(1L, l) - 1) DIV shiftleft(1L, l) < hi DIV shiftleft(1L, l))))"""
     )
-    return spans.select("entity", F.explode(blocks).alias("b")).select("entity", "b.lv", "b.ix").distinct()
+    return spans.select("entity", F.explode(blocks).alias("b")).select("entity", "b.lv", "b.ix")
 
 
 def _runs(code: np.ndarray, lv: np.ndarray, ix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
