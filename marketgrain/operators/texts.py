@@ -36,6 +36,17 @@ def search_text(fields: Sequence[Column], synonyms: Sequence[Sequence[str]]) ->
     return F.concat_ws(" ", base, *more)
 
 
+def fuzzy_search(df: DataFrame, text: str, word: str, most: int = 2) -> DataFrame:
+    """Rows whose text has a word within ``most`` changes of ``word``, with ``slips``, the least number of changes.
+
+    Words of a length from which the changes cannot suffice are not compared; the distance is a built-in with a bound.
+    """
+    word = word.strip().lower()
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w).between(len(word) - most, len(word) + most))
+    distances = F.filter(F.transform(words, lambda w: F.levenshtein(w, F.lit(word), most)), lambda n: n >= 0)
+    return df.withColumn("slips", F.array_min(distances)).where("slips IS NOT NULL")
+
+
 def assemble_names(near: DataFrame, key: str, text: str, y: str, x: str, noise: Sequence[str], most: int = 10) -> DataFrame:
     """Names put together from the texts near a key: the first ``most`` by (y, x), split in words, without noise words,
     numbers, percentages, single letters and repetitions.

@@ -434,3 +434,37 @@ def documents_in_chunks(spark: SparkSession, d: str) -> DataFrame:
 def brochures_on_a_day(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "brochures").where("valid_from IS NOT NULL AND valid_until IS NOT NULL")
     return active_brochures(rows, "2025-03-10").where("active").select("url", "store")
+
+
+# --- further orders of the listing, days in titles, search with slips -------------------------------------------------
+
+
+def _listing(sort: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return offers_query(table(spark, d, "offers"), sort=sort, page=1).select("ord")
+
+    run.__name__ = f"listing_by_{sort}"
+    return run
+
+
+_ORDERS = {
+    "protein": "coalesce(macros.p, 0) DESC",
+    "price_asc": "is_healthy DESC, new_price",
+    "discount_desc": "coalesce(discount_pct, 0) DESC, new_price",
+    "store": "lower(trim(store)), coalesce(discount_pct, 0) DESC",
+    "valid_until": "valid_until NULLS LAST",
+}
+for _sort, _order in _ORDERS.items():
+    query(f"SELECT ord FROM offers WHERE {_VALID} ORDER BY {_order}, ord LIMIT 36")(_listing(_sort))
+
+
+@query("""WITH t AS (SELECT url, regexp_extract(title, '([0-9]{1,2})\\.([0-9]{1,2})\\.([0-9]{4})', ['d', 'm', 'y']) AS x FROM brochures)
+SELECT url, TRY_CAST(concat(x.y, '-', lpad(x.m, 2, '0'), '-', lpad(x.d, 2, '0')) AS DATE) AS day FROM t""")
+def day_in_title(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "brochures").select("url", scalars.parse_date(F.regexp_extract("title", r"(\d{1,2}\.\d{1,2}\.\d{4})", 1)).alias("day"))
+
+
+@query("""WITH w AS (SELECT ord, unnest(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+')) AS w FROM offers), m AS (SELECT ord, min(levenshtein(w, 'chocolate')) AS slips FROM w WHERE length(w) BETWEEN 7 AND 11 GROUP BY ord)
+SELECT ord, CAST(slips AS INTEGER) AS slips FROM m WHERE slips <= 2""")
+def search_with_slips(spark: SparkSession, d: str) -> DataFrame:
+    return texts.fuzzy_search(table(spark, d, "offers"), "name", "chocolate", 2).select("ord", "slips")

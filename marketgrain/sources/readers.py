@@ -171,10 +171,10 @@ def last_page(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 def active_brochures(brochures: DataFrame, as_of: str, group: str = "store") -> DataFrame:
     """Brochures valid on the day ``as_of`` (open ends where a day is missing); of a store without one, its first.
 
-    Days missing in the columns are read from the title. Sorted within a store by last day (none is last) and title.
+    Days missing in the columns are read from the title, a range or a single last day. Sorted within a store by last day (none is last) and title.
     """
     days = date_range(F.col("title"), F.year(F.to_date(F.lit(as_of))))
-    rows = brochures.withColumns({"day_from": F.coalesce("valid_from", days["day_from"]), "day_until": F.coalesce("valid_until", days["day_until"])})
+    rows = brochures.withColumns({"day_from": F.coalesce("valid_from", days["day_from"]), "day_until": F.coalesce("valid_until", days["day_until"], parse_date(F.col("title")))})
     today = F.to_date(F.lit(as_of))
     active = (F.col("day_from").isNull() | (F.col("day_from") <= today)) & (F.col("day_until").isNull() | (F.col("day_until") >= today))
     rows = rows.withColumn("active", active)

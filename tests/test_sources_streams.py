@@ -61,7 +61,7 @@ def test_script_and_json_documents(spark, tmp_path):
 
 def test_brochures(spark):
     d = date(2024, 5, 5)
-    rows = [("u1", "s", "t", date(2024, 5, 1), date(2024, 5, 9)), ("u2", "s", "t", date(2024, 1, 1), date(2024, 1, 9)), ("u3", "r", "old", date(2024, 1, 1), date(2024, 1, 2)), ("u4", "q", "03.05. - 09.05.2024", None, None)]
+    rows = [("u1", "s", "t", date(2024, 5, 1), date(2024, 5, 9)), ("u2", "s", "t", date(2024, 1, 1), date(2024, 1, 9)), ("u3", "r", "old", date(2024, 1, 1), date(2024, 1, 2)), ("u4", "q", "03.05. - 09.05.2024", None, None), ("u5", "q", "с валидност до 04.05.2024", None, None)]
     got = {(r["url"], r["active"]) for r in readers.active_brochures(spark.createDataFrame(rows, "url string, store string, title string, valid_from date, valid_until date"), d.isoformat()).collect()}
     assert got == {("u1", True), ("u3", False), ("u4", True)}
 
