@@ -171,7 +171,8 @@ def last_page(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 def active_brochures(brochures: DataFrame, as_of: str, group: str = "store") -> DataFrame:
     """Brochures valid on the day ``as_of`` (open ends where a day is missing); of a store without one, its first.
 
-    Days missing in the columns are read from the title, a range or a single last day. Sorted within a store by last day (none is last) and title.
+    Days missing in the columns are read from the title, a range or a single last day. Sorted by store, last day (none
+    is last) and title.
     """
     days = date_range(F.col("title"), F.year(F.to_date(F.lit(as_of))))
     rows = brochures.withColumns({"day_from": F.coalesce("valid_from", days["day_from"]), "day_until": F.coalesce("valid_until", days["day_until"], parse_date(F.col("title")))})
@@ -182,7 +183,7 @@ def active_brochures(brochures: DataFrame, as_of: str, group: str = "store") ->
     from marketgrain.operators.dedupe import keep_best
 
     rest = keep_best(rows.join(any_active, group, "left_anti"), [group], [F.asc("url")])
-    return rows.where("active").unionByName(rest.select(rows.columns))
+    return rows.where("active").unionByName(rest.select(rows.columns)).orderBy(group, F.col("day_until").asc_nulls_last(), "title", "url")
 
 
 def script_table(spark: SparkSession, path: str, schema: str, rows: str | None = None) -> DataFrame:
