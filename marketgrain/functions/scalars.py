@@ -24,15 +24,13 @@ def parse_price(text: Column) -> Column:
 
 def parse_date(text: Column, year: Column | None = None) -> Column:
     """DATE in a text: ISO, dd.mm.yyyy, dd.mm.yy (of this century) or, with ``year``, dd.mm; impossible days are null."""
-    t = F.trim(text)
-    iso = F.try_to_date(F.nullif(F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
-    part = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
-    long, short, bare = r"(\d{1,2})\.(\d{1,2})\.(\d{4})", r"(\d{1,2})\.(\d{1,2})\.(\d{2})(?!\d)", r"(\d{1,2})\.(\d{1,2})(?![\d.]*\d)"
-    day = lambda p, y: F.try_to_date(F.concat_ws("-", y, F.lpad(part(p, 2), 2, "0"), F.lpad(part(p, 1), 2, "0")))
-    found = F.coalesce(iso, F.when(t.rlike(long), day(long, part(long, 3))), F.when(t.rlike(short), day(short, F.concat(F.lit("20"), part(short, 3)))))
-    if year is not None:
-        found = F.coalesce(found, F.when(t.rlike(bare), day(bare, year.cast("string"))))
-    return found
+    iso = F.try_to_date(F.nullif(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
+    pattern = r"(?<![\d.])(\d{1,2})\.(\d{1,2})(?:\.(\d{4}|\d{2}))?(?!\d|\.\d)"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    bare = F.lit(None).cast("string") if year is None else year.cast("string")
+    y = F.when(F.length(part(3)) == 4, part(3)).when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(bare)
+    # a null year makes a null day, where concat_ws would leave it out
+    return F.coalesce(iso, F.try_to_date(F.concat(y, F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"))))
 
 
 def date_range(text: Column, year: Column | None = None) -> Column:

@@ -174,8 +174,8 @@ def active_brochures(brochures: DataFrame, as_of: str, group: str = "store") ->
     Days missing in the columns are read from the title, a range or a single last day. Sorted by store, last day (none
     is last) and title.
     """
-    days = date_range(F.col("title"), F.year(F.to_date(F.lit(as_of))))
-    rows = brochures.withColumns({"day_from": F.coalesce("valid_from", days["day_from"]), "day_until": F.coalesce("valid_until", days["day_until"], parse_date(F.col("title")))})
+    told = brochures.withColumns({"_days": date_range(F.col("title"), F.year(F.to_date(F.lit(as_of)))), "_day": parse_date(F.col("title"))})
+    rows = told.withColumns({"day_from": F.coalesce("valid_from", "_days.day_from"), "day_until": F.coalesce("valid_until", "_days.day_until", "_day")}).drop("_days", "_day")
     today = F.to_date(F.lit(as_of))
     active = (F.col("day_from").isNull() | (F.col("day_from") <= today)) & (F.col("day_until").isNull() | (F.col("day_until") >= today))
     rows = rows.withColumn("active", active)
