@@ -1,7 +1,7 @@
 """Listings of the same product: multi-pass sorted neighbourhood, soft token alignment, correlation clustering.
 
 Every listing becomes one record in one alphabet: maker, food, variety, remaining words, content of a piece and number
-of pieces. Records that are equal collapse into one signature before anything is compared, so a hot product or listing
+of pieces. A maker one slip from a far more frequent one stands for that one. Records that are equal collapse into one signature before anything is compared, so a hot product or listing
 is one row. Signatures are sorted by several keys of different token order; in each order every signature is compared
 with its neighbours in a sliding window, by an alignment of their tokens that allows slips. Similar pairs are the
 positive edges of a correlation clustering by pivots, which runs in rounds over tables in the checkpoint folder.
@@ -10,8 +10,9 @@ positive edges of a correlation clustering by pivots, which runs in rounds over
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketgrain.functions.measure import stated
 from marketgrain.llm.glyphs import ordinary_spelling
@@ -22,6 +23,8 @@ from marketgrain.session import cut, shuffle_width
 WINDOW = 6
 #: Rows of a sorted order that one task compares at a time.
 BLOCK = 4096
+#: How many times as frequent, over all products, the maker is whose name another one misspells.
+SLIP_RATIO = 5
 _RECORD = "maker string, food string, variety string, rest string"
 
 
@@ -55,6 +58,35 @@ def listing_records(offers: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
+def _variants(word: Column) -> Column:
+    """The word and, from five letters on, the word with each of its letters left out: words one slip apart share one."""
+    out = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 5, out).otherwise(F.array().cast("array<string>"))))
+
+
+@F.pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def maker_slips(records: DataFrame, ratio: float = SLIP_RATIO) -> DataFrame:
+    """(``maker``, ``meant``): makers one slip from another one that is ``ratio`` times as frequent over all listings.
+
+    Of several the most frequent is meant. Where that is a slip itself, what it stands for is meant; the frequency
+    rises with every such step, so they are few.
+    """
+    counts = records.where(F.length("maker") >= 5).groupBy("maker").agg(F.count("*").alias("n"))
+    words = cut(counts.withColumn("v", F.explode(_variants(F.col("maker")))))
+    close = words.alias("a").join(words.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("b.n") >= ratio * F.col("a.n")) & (F.col("a.maker") != F.col("b.maker")))
+    pairs = close.select(F.col("a.maker").alias("maker"), F.col("b.maker").alias("meant"), F.col("b.n").alias("n")).distinct().where(_near("maker", "meant"))
+    slips = cut(pairs.groupBy("maker").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant")))
+    while True:
+        further = slips.select(F.col("maker").alias("meant"), F.col("meant").alias("_further"))
+        if slips.join(further, "meant", "left_semi").isEmpty():
+            return slips
+        slips = cut(slips.join(further, "meant", "left").select("maker", F.coalesce("_further", "meant").alias("meant")))
+
+
 def sorted_neighbours(df: DataFrame, order: list[str], columns: list[str], similar, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of ``sig`` for which ``similar(row, row)`` holds among neighbours in the sorted ``order``.
 
@@ -101,14 +133,9 @@ def soft_alignment(a: list[str], b: list[str]) -> float:
 
 
 def same_product(a, b) -> bool:
-    """Do two signatures name one product? Content, food and variety are the same, makers too but for a slip that only
-    one listing has, and the remaining words align."""
-    if a.content != b.content:
+    """Do two signatures name one product? Content, maker, food and variety are the same, and the remaining words align."""
+    if a.content != b.content or a.maker != b.maker:
         return False
-    if a.maker != b.maker:
-        few, many = min(a.n, b.n), max(a.n, b.n)
-        if not (few == 1 and many >= 5 and min(len(a.maker), len(b.maker)) >= 5 and near(a.maker, b.maker)):
-            return False
     if a.food and b.food and a.variety and b.variety:
         return a.food == b.food and a.variety == b.variety
     if a.food != b.food or a.variety != b.variety:
@@ -143,11 +170,11 @@ def product_groups(offers: DataFrame, key: str = "id", window: int = WINDOW) ->
     says only with listings that say no more. Of several spellings of a listing the most frequent counts, ties by text
     order. An empty table gives an empty result; other columns do not matter.
     """
-    records = listing_records(offers, key).withColumn("sig", F.xxhash64("maker", "food", "variety", "rest", "content"))
-    records = cut(records)
+    records = cut(listing_records(offers, key))
+    records = records.join(maker_slips(records), "maker", "left").withColumn("maker", F.coalesce("meant", "maker")).drop("meant")
+    records = cut(records.withColumn("sig", F.xxhash64("maker", "food", "variety", "rest", "content")))
     parts = ["maker", "food", "variety", "rest", "content"]
-    signatures = cut(records.groupBy("sig").agg(*[F.first(c).alias(c) for c in parts], F.count("*").alias("n")))
-    columns = [*parts, "n"]
+    signatures = cut(records.groupBy("sig").agg(*[F.first(c).alias(c) for c in parts]))
     orders = [
         ["maker", "food", "variety", "content"],
         ["food", "variety", "content", "maker"],
@@ -156,7 +183,7 @@ def product_groups(offers: DataFrame, key: str = "id", window: int = WINDOW) ->
     rows = signatures.withColumn("_turned", F.reverse("maker"))
     edges = None
     for order in orders:
-        found = sorted_neighbours(rows, order, [*columns, "_turned"], same_product, window)
+        found = sorted_neighbours(rows, order, [*parts, "_turned"], same_product, window)
         edges = found if edges is None else edges.unionByName(found)
     clusters = correlation_clusters(edges)
     named = records.select(F.col("id").alias(key), "sig").join(clusters, "sig", "left")

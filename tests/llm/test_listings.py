@@ -82,3 +82,13 @@ def test_reading():
     assert (a.maker, a.food, a.variety) == (b.maker, b.food, b.variety) == ("gezaglik", "white_cheese", "goat")
     assert latin("Фалерди") == "falerdi" and read_name(None).food == ""
     assert soft_alignment(["kashkaval", "x"], ["kashkval", "x"]) == 0.875 and soft_alignment([], []) == 1.0
+
+
+def test_slips_of_makers(spark):
+    """Slips are told by frequency over all products: in a small product, in several listings of a hot one, in the first letter."""
+    names = ["Рекарна Леща червена 400 г"] * 12 + ["Рекарна Яйца клас S 10 бр"] * 2 + ["Екарна Леща червена 400 г", "Ekarna Lentils red 400 g", "Рекарно Яйца клас S 10 бр"]
+    names += ["Фалерди Леща червена 400 г"] * 4 + ["Фалерда Леща червена 400 г"] * 2  # as frequent: two makers
+    rows = [(i, f"s{i:02}", n, None) for i, n in enumerate(names)]
+    got = {r["id"]: r["product"] for r in product_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[f"s{i:02}"] for i in [*range(12), 14, 15]} == {got["s00"]} and got["s12"] == got["s13"] == got["s16"]
+    assert len(set(got.values())) == 4 and got["s17"] != got["s21"]
