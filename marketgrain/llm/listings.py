@@ -1,9 +1,9 @@
-"""Listings of the same product: multi-pass sorted neighbourhood, soft token alignment, correlation clustering.
+"""Listings of the same product: blocking by shared words, soft token alignment, correlation clustering.
 
 Every listing becomes one record in one alphabet: maker, food, variety, remaining words, content of a piece and number
 of pieces. A maker one slip from a far more frequent one stands for that one. Records that are equal collapse into one signature before anything is compared, so a hot product or listing
-is one row. Signatures are sorted by several keys of different token order; in each order every signature is compared
-with its neighbours in a sliding window, by an alignment of their tokens that allows slips. Similar pairs are the
+is one row. Signatures of one maker, food, variety and content whose remaining words can align meet by a word they share
+(but for a slip) and are compared by an alignment of their tokens that allows slips. Similar pairs are the
 positive edges of a correlation clustering by pivots, which runs in rounds over tables in the checkpoint folder.
 """
 
@@ -25,6 +25,8 @@ WINDOW = 6
 BLOCK = 4096
 #: How many times as frequent, over all products, the maker is whose name another one misspells.
 SLIP_RATIO = 5
+#: Least alignment of the remaining words of one product.
+LEAST_ALIGNED = 0.8
 _RECORD = "maker string, food string, variety string, rest string"
 
 
@@ -132,15 +134,30 @@ def soft_alignment(a: list[str], b: list[str]) -> float:
     return 2 * score / (len(a) + len(b))
 
 
-def same_product(a, b) -> bool:
-    """Do two signatures name one product? Content, maker, food and variety are the same, and the remaining words align."""
-    if a.content != b.content or a.maker != b.maker:
-        return False
-    if a.food and b.food and a.variety and b.variety:
-        return a.food == b.food and a.variety == b.variety
-    if a.food != b.food or a.variety != b.variety:
-        return False
-    return soft_alignment(a.rest.split(), b.rest.split()) >= 0.8
+@F.pandas_udf(T.BooleanType())
+def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
+    pairs = ((x.split(), y.split()) for x, y in zip(a, b, strict=True))
+    return pd.Series([max(soft_alignment(x, y), soft_alignment(y, x)) >= LEAST_ALIGNED for x, y in pairs], dtype=bool)
+
+
+def aligned_pairs(signatures: DataFrame, same: list[str], rest: str = "rest") -> DataFrame:
+    """All pairs (a, b) of ``sig`` with equal columns ``same`` and remaining words that align, found without a product.
+
+    With an alignment of 0.8, at least two thirds of the words of either side have a partner, so one of the rarest third
+    (and one more) of a's words has one in b. Partners are equal or one slip apart and then share a word or a word with
+    a letter left out: pairs that share one are compared, all others cannot align.
+    """
+    rows = cut(signatures.select("sig", *same, rest, F.filter(F.split(rest, " "), lambda t: t != "").alias("_t")).withColumn("_n", F.size("_t")).where("_n > 0"))
+    words = rows.select("sig", F.explode("_t").alias("_w"))
+    often = words.groupBy("_w").agg(F.count("*").alias("_k"))
+    ranked = words.join(often, "_w").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("_k", "_w"))).alias("_r"))
+    rare = ranked.join(rows, "sig").select("sig", *same, "_n", F.explode(F.array_distinct(F.slice("_r", F.lit(1), F.floor(F.col("_n") / 3).cast("int") + 1)["_w"])).alias("_w"))
+    left = rare.select(F.col("sig").alias("_a"), *same, F.col("_n").alias("_m"), F.explode(_variants(F.col("_w"))).alias("_v")).distinct()
+    right = rows.select("sig", *same, "_n", F.explode(F.array_distinct("_t")).alias("_w")).select("sig", *same, "_n", F.explode(_variants(F.col("_w"))).alias("_v")).distinct()
+    met = left.join(right, [*same, "_v"]).where("_a <> sig AND 3 * _n >= 2 * _m AND 3 * _m >= 2 * _n")
+    pairs = met.select(F.least("_a", "sig").alias("a"), F.greatest("_a", "sig").alias("b")).distinct()
+    text = lambda key, out: rows.select(F.col("sig").alias(key), F.col(rest).alias(out))
+    return pairs.join(text("a", "_x"), "a").join(text("b", "_y"), "b").where(_aligned("_x", "_y")).select("a", "b")
 
 
 def correlation_clusters(edges: DataFrame) -> DataFrame:
@@ -163,7 +180,7 @@ def correlation_clusters(edges: DataFrame) -> DataFrame:
     return done if done is not None else edges.select(F.col("a").alias("sig"), F.col("a").alias("cluster")).limit(0)
 
 
-def product_groups(offers: DataFrame, key: str = "id", window: int = WINDOW) -> DataFrame:
+def product_groups(offers: DataFrame, key: str = "id") -> DataFrame:
     """One row (``key``, ``product``) per listing; listings of one product share ``product``.
 
     Rows without a listing key are ignored; a listing without a name, or with an empty one, is grouped by what its weight
@@ -175,16 +192,8 @@ def product_groups(offers: DataFrame, key: str = "id", window: int = WINDOW) ->
     records = cut(records.withColumn("sig", F.xxhash64("maker", "food", "variety", "rest", "content")))
     parts = ["maker", "food", "variety", "rest", "content"]
     signatures = cut(records.groupBy("sig").agg(*[F.first(c).alias(c) for c in parts]))
-    orders = [
-        ["maker", "food", "variety", "content"],
-        ["food", "variety", "content", "maker"],
-        ["content", "_turned", "food", "variety"],
-    ]
-    rows = signatures.withColumn("_turned", F.reverse("maker"))
-    edges = None
-    for order in orders:
-        found = sorted_neighbours(rows, order, [*parts, "_turned"], same_product, window)
-        edges = found if edges is None else edges.unionByName(found)
+    # with food and variety known nothing is left to compare: such records are one signature already
+    edges = aligned_pairs(signatures.where("food = '' OR variety = ''"), ["maker", "food", "variety", "content"])
     clusters = correlation_clusters(edges)
     named = records.select(F.col("id").alias(key), "sig").join(clusters, "sig", "left")
     return named.select(key, F.coalesce("cluster", "sig").alias("product"))

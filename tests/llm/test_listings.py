@@ -92,3 +92,28 @@ def test_slips_of_makers(spark):
     got = {r["id"]: r["product"] for r in product_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {got[f"s{i:02}"] for i in [*range(12), 14, 15]} == {got["s00"]} and got["s12"] == got["s13"] == got["s16"]
     assert len(set(got.values())) == 4 and got["s17"] != got["s21"]
+
+
+def test_slips_far_apart_in_a_hot_maker(spark):
+    """Records without a known food, beyond any window of one maker and content, find their partner."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bdgklmnprstvz") + r.choice("aeiou") for _ in range(4))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(4)]
+        for k, x in enumerate((words, [*words[:3], "q" + words[3][1:]])):
+            rows.append((2 * i + k, f"s{i}-{k}", " ".join(["Velikomakerski", *x, "400 g"]), None))
+    got = {x["id"]: x["product"] for x in product_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[f"s{i}-0"] == got[f"s{i}-1"] for i in range(60)) and len(set(got.values())) == 60
+
+
+def test_aligned_pairs_are_all(spark):
+    from marketgrain.llm.listings import aligned_pairs
+
+    r = random.Random(8)
+    pool = ["kashkaval", "kashkval", "kashkavak", "mlyako", "mlyaka", "ovche", "ovce", "x", "y", "z"]
+    rests = sorted({" ".join(sorted(r.choice(pool) for _ in range(r.randrange(0, 7)))) for _ in range(150)})
+    rows = [(i, "m" if i % 3 else "n", x) for i, x in enumerate(rests)]
+    got = {tuple(x) for x in aligned_pairs(spark.createDataFrame(rows, "sig long, maker string, rest string"), ["maker"]).collect()}
+    alike = lambda x, y: x and y and max(soft_alignment(x.split(), y.split()), soft_alignment(y.split(), x.split())) >= 0.8
+    assert got == {(a[0], b[0]) for a, b in combinations(rows, 2) if a[1] == b[1] and alike(a[2], b[2])} and got
