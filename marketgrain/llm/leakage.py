@@ -2,8 +2,8 @@
 
 Items and documents are read as streams of folded letters and digits (no case, blanks, punctuation or character forms).
 The q-grams a document shares with an item are counted in overlapping diagonal bands; by the q-gram lemma a stretch of
-half the item within the edit budget leaves a known number of them in one band. Bands that reach it are verified by a
-banded local alignment, run for all candidates of a batch at once.
+half the item within the edit budget leaves a known number of them in one band. Bands that reach it are verified by an
+alignment that counts changed words, run for all candidates of a batch at once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from marketgrain.llm.glyphs import SHAPES, TOP, _of, _rows, ordinary, slices, ta
 #: Most test items that are sent to every executor (their grams are a few kilobytes an item).
 MOST_ITEMS = 20000
 BAND = 48
-#: Least score of an alignment by letter: about one changed word in ten.
-LEAST_SCORE = 0.6
 _HAN = 1 << 20
 
 
@@ -143,74 +141,93 @@ def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.
     return row, item, middle
 
 
-def align(index: ItemIndex, letters: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, middle: np.ndarray, width: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best local alignment within the band of each candidate: first and end letter of the item, and score.
+def stretches(index: ItemIndex, letters: np.ndarray, word: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, middle: np.ndarray, part: float, budget: float, width: int = BAND) -> np.ndarray:
+    """Share of the item's words in the longest stretch that the band of each candidate holds, 0 below ``part``.
 
-    A match scores 1, a change or a gap -2, so that texts which only share letters do not prolong it. Scores and the (early) start of the alignment are kept in one integer, so a
-    row of the band is a handful of array operations for all candidates.
+    A stretch begins and ends with words that stand letter for letter in the text, wherever its blanks are; between them
+    at most ``budget`` of its words are changed, and seen from either end never more than half, so that a word which
+    stands there by chance prolongs nothing. A word changed, left out or put in counts one; a word changed into
+    several, their number. Where the text has no blanks to find the next word by, a letter counts its part of a word.
+    Alignments from every possible first word are kept side by side, so nothing is cut off at a changed word.
     """
-    n, size = len(row), 2 * width + 1
+    n, size, far = len(row), 2 * width + 1, np.float32(1e6)
+    total = np.array([index.words[i][-1] + 1 for i in item], np.int64)
     lengths = np.array([len(index.letters[i]) for i in item], np.int64)
-    longest = int(lengths.max(initial=0))
+    longest, most = int(lengths.max()), int(total.max())
     own = np.zeros((n, longest), np.int64)
+    ends = np.zeros((n, most + 1), np.int64)  # letters before each word
     for k, i in enumerate(item):
         own[k, : lengths[k]] = index.letters[i]
-    one = np.int64(1) << 16
-    offsets = np.arange(size) - width
-    value = np.full((n, size), one - 1, np.int64)
-    best, best_end = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    begin, end = at[row], at[row + 1]
-    ramp = np.arange(size) * 2 * one
+        ends[k, 1 : total[k] + 1] = np.cumsum(np.bincount(index.words[i], minlength=total[k]))
+        ends[k, total[k] + 1 :] = lengths[k]
+    first, end = at[row][:, None], at[row + 1][:, None]
+    j = first + middle[:, None] + np.arange(-width, width + 1)[None, :]
+    wrong = np.zeros((n, longest + 1, size), np.int32)
+    last = max(len(letters) - 1, 0)
     for i in range(longest):
-        j = begin[:, None] + (i + middle)[:, None] + offsets[None, :]
-        inside = (j >= begin[:, None]) & (j < end[:, None])
-        same = np.where(inside, letters[np.clip(j, 0, max(len(letters) - 1, 0))] == own[:, i : i + 1], False)
-        fresh = one - 1 - i  # score 0, start at i
-        step = value + np.where(same, one, -2 * one)
-        up = np.full_like(value, fresh)
-        up[:, :-1] = value[:, 1:] - 2 * one
-        step = np.maximum(np.maximum(step, up), fresh)
-        step = np.maximum.accumulate(step + ramp, axis=1) - ramp
-        value = np.where(inside, np.maximum(step, fresh), fresh)
-        top = value.max(axis=1)
-        better = (top >> 16 > best >> 16) & (i < lengths)
-        best, best_end = np.where(better, top, best), np.where(better, i + 1, best_end)
-    start = one - 1 - (best & (one - 1))
-    return start, best_end, best >> 16
-
-
-def _leaks(index: ItemIndex, part: float):
+        x = j + i
+        wrong[:, i + 1] = wrong[:, i] + ~((x >= first) & (x < end) & (letters[np.clip(x, 0, last)] == own[:, i : i + 1]))
+    each = np.arange(n)
+    starts = max(1, int((total - np.ceil(part * total)).max()) + 1)
+    gap = (total / np.maximum(lengths, 1)).astype(np.float32)[:, None, None] * np.arange(size, dtype=np.float32)
+    cost = np.full((n, starts, size), far, np.float32)
+    share = np.zeros(n)
+    least = np.zeros((n, starts), np.float32)  # of changed words less half the words, from the first one to any before
+    for w in range(most):
+        a, b = ends[:, w], ends[:, w + 1]
+        x = j + a[:, None]
+        inside = (x >= first) & (x < end)
+        number = np.where(inside, word[np.clip(x, 0, last)], 0)
+        begins = inside & ((x == first) | (number != word[np.clip(x - 1, 0, last)]))
+        place = (number - number.max(axis=1, keepdims=True)).astype(np.float32)[:, None, :]
+        # words of the text passed over up to the beginning of one
+        passed = np.full_like(cost, far)
+        passed[:, :, 1:] = np.minimum.accumulate(np.where(inside[:, None, :], cost - place, far), axis=2)[:, :, :-1]
+        passed = np.where(begins[:, None, :], passed + place, far)
+        equal = (wrong[each, b] == wrong[each, a])[:, None, :] & (w < total)[:, None, None]
+        match = np.where(equal, np.minimum(cost, passed), far)
+        if w < starts:
+            match[:, w] = np.where(equal[:, 0], 0, far)
+        words = w + 1 - np.arange(starts)
+        now = match.min(axis=2)
+        held = (now <= budget * words + 1e-6) & (now - words / 2 <= least + 1e-6) & (words >= part * total[:, None])
+        share = np.maximum(share, np.where(held, words, 0).max(axis=1) / total)
+        left_out = np.minimum(cost + 1, passed)
+        to = np.arange(size)[None, :] + (b - a)[:, None]
+        moved = np.take_along_axis(left_out, np.broadcast_to(np.minimum(to, size - 1)[:, None, :], cost.shape), axis=2)
+        changed = np.minimum(cost + 1, np.where((to < size)[:, None, :], moved, far))
+        changed = np.minimum(np.minimum.accumulate(changed - gap, axis=2) + gap, np.minimum.accumulate((changed + gap)[:, :, ::-1], axis=2)[:, :, ::-1] - gap)
+        cost = np.minimum(match, changed)
+        cost[(cost > budget * most + 1e-3) | (2 * cost > words[:, None] + 1e-3)] = far
+        least = np.where(words > 0, np.minimum(least, cost.min(axis=2) - words / 2), 0)
+    return share
+
+
+def _leaks(index: ItemIndex, part: float, budget: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            letters, rows, at, _ = stream(batch.column(1))
+            letters, rows, at, word = stream(batch.column(1))
             row, item, middle = _candidates(index, letters, rows, at)
-            out_row, out_item, share = [], [], []
-            for a in range(0, len(row), 512):
-                r, i, m = row[a : a + 512], item[a : a + 512], middle[a : a + 512]
-                start, end, score = align(index, letters, at, r, i, m)
-                for k in range(len(r)):
-                    words, s, e = index.words[i[k]], start[k], end[k]
-                    total = words[-1] + 1
-                    whole = _whole_words(words, s, e)
-                    if score[k] >= LEAST_SCORE * (e - s) and whole >= part * total:
-                        out_row.append(r[k])
-                        out_item.append(i[k])
-                        share.append(whole / total)
-            keys = batch.column(0).take(pa.array(out_row, pa.int64()))
-            yield pa.record_batch([keys, pa.array(out_item, pa.int64()), pa.array(share, pa.float64())], ["key", "item", "share"])
+            order = np.argsort([len(index.letters[i]) for i in item], kind="stable")
+            row, item, middle = row[order], item[order], middle[order]
+            out_row, out_item, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            a = 0
+            while a < len(row):  # as many as fit some megabytes, items of one size together
+                b = min(a + 64, len(row))
+                while b > a + 1 and (b - a) * len(index.letters[item[b - 1]]) > 1 << 15:
+                    b = a + (b - a) // 2
+                found = stretches(index, letters, word, at, row[a:b], item[a:b], middle[a:b], part, budget)
+                held = np.flatnonzero(found)
+                out_row.append(row[a:b][held])
+                out_item.append(item[a:b][held])
+                share.append(found[held])
+                a = b
+            keys = batch.column(0).take(pa.array(np.concatenate(out_row), pa.int64()))
+            yield pa.record_batch([keys, pa.array(np.concatenate(out_item), pa.int64()), pa.array(np.concatenate(share), pa.float64())], ["key", "item", "share"])
 
     return run
 
 
-def _whole_words(words: np.ndarray, start: int, end: int) -> int:
-    """Number of the item's words that lie wholly in its letters start to end."""
-    if end <= start:
-        return 0
-    first = words[start] + (start > 0 and words[start - 1] == words[start])
-    last = words[end - 1] - (end < len(words) and words[end] == words[end - 1])
-    return max(0, int(last - first + 1))
-
-
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", part: float = 0.5, budget: float = 0.15) -> DataFrame:
     """Rows (``item_key``, ``key``, ``share``): the document holds the item, or one stretch of at least ``part`` of it.
 
@@ -224,7 +241,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
         raise ValueError(f"more than {MOST_ITEMS} test items; split them into several calls")
     index = ItemIndex.of([r[0] for r in held], [r[1] for r in held], part, budget)
     kind = documents.schema[key].dataType.simpleString()
-    found = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_leaks(index, part), f"key {kind}, item bigint, share double")
+    found = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_leaks(index, part, budget), f"key {kind}, item bigint, share double")
     pairs = found.groupBy("key", "item").agg(F.max("share").alias("share"))
     names = documents.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(held)], f"item bigint, name {items.schema[item_key].dataType.simpleString()}")
     return pairs.join(F.broadcast(names), "item").select(F.col("name").alias(item_key), F.col("key").alias(key), "share")

@@ -70,3 +70,24 @@ def test_edges(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MOST_ITEMS", 2)
     with pytest.raises(ValueError):
         leaked_items(d, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "item_id long, text string"))
+
+
+def test_changed_words_in_partial_leaks(spark):
+    """Words changed near the ends of a stretch just over half, with other lengths or in a text without blanks."""
+    r = random.Random(3)
+    items = texts(8, 44, 71)
+    docs, truth = [], set()
+    for n in range(96):
+        k, kind = n % len(items), n // 8 % 4
+        a = r.randrange(0, 20)
+        piece = items[k].split()[a : a + 24]
+        for at in ((2, 21), (2, 3), (2, 12, 21), (2, 3, 10, 11, 20, 21))[kind]:
+            piece[at] = r.choice(["zzzzz", "xyxyxyxyxy", "qq"]) if kind else "zzzzz"[: len(piece[at])].ljust(len(piece[at]), "z")
+        if kind < 3:
+            truth.add((k, n))
+        body = texts(1, 60, 500 + n)[0].split()
+        docs.append((n, " ".join(body[:30]) + " " + ("" if kind == 0 and n % 3 == 0 else " ").join(piece) + " " + " ".join(body[30:])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["item_id"], x["doc_id"]) for x in leaked_items(d, i).collect()}
+    assert got == truth
