@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from marketgrain.functions.scalars import jaccard, sequence_ratio, tokens
 from marketgrain.operators.dedupe import keep_best
 
+#: Parts in which the left rows of a group are compared with its right ones.
+PARTS = 16
+
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows, else unmarked (a shuffle join then).
@@ -79,11 +85,34 @@ def nearest_l1(left: DataFrame, right: DataFrame, on: Sequence[str], dims: Seque
     Where the left row has no first dimension the first right row by ``right_order`` is taken. Ties go to it too. Right
     columns are prefixed ``r_``; left rows without a candidate keep nulls.
     """
-    r = right.select(*on, *[F.col(c).alias(f"r_{c}") for c in dict.fromkeys([*dims, right_order, *out])])
-    gap = sum((F.coalesce(F.abs(F.col(d) - F.col(f"r_{d}")), F.lit(0.0)) for d in dims), F.lit(0.0))
-    distance = F.when(F.col(dims[0]).isNull(), F.lit(0.0)).otherwise(gap)
-    best = left.select(left_key, *on, *dims).join(r, list(on)).groupBy(left_key).agg(F.min_by(F.struct(*[f"r_{c}" for c in out]), F.struct(distance, f"r_{right_order}")).alias("_b"))
-    return left.join(best, left_key, "left").select(left["*"], *[F.col(f"_b.r_{c}").alias(f"r_{c}") for c in out])
+    # a group is compared in parts of its left rows, each with all its right ones, so no pair becomes a row; NaN is far from all
+    at = lambda c, far: F.when(F.isnan(F.col(c).cast("double")), F.lit(far)).otherwise(F.col(c).cast("double"))
+    known = lambda df: df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in on))
+    names = [f"_d{i}" for i in range(len(dims))]
+    l = known(left).select(F.col(left_key).alias("_k"), *on, *[at(c, float("inf")).alias(n) for c, n in zip(dims, names, strict=True)], F.pmod(F.xxhash64(left_key), F.lit(PARTS)).alias("_part"))  # noqa: E741
+    r = known(right).select(*on, *[at(c, float("-inf")).alias(n) for c, n in zip(dims, names, strict=True)], F.col(right_order).alias("_o"), *[F.col(c).alias(f"r_{c}") for c in out])
+    r = r.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    flat = StructType([StructField("_k", left.schema[left_key].dataType), *[StructField(f"r_{c}", right.schema[c].dataType) for c in out]])
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({f.name: [] for f in flat})
+        b = b.sort_values("_o", kind="stable", na_position="first")
+        x, y = a[names].to_numpy("float64"), b[names].to_numpy("float64")
+        best = np.zeros(len(a), np.int64)
+        step = max(1, (1 << 22) // len(b))
+        for i in range(0, len(a), step):
+            gap = np.zeros((min(step, len(a) - i), len(b)))
+            for k in range(len(names)):
+                gap += np.nan_to_num(np.abs(x[i : i + step, k, None] - y[None, :, k]), nan=0.0, posinf=np.inf)
+            gap[np.isnan(x[i : i + step, 0])] = 0.0
+            best[i : i + step] = gap.argmin(axis=1)
+        found = b.iloc[best][[f"r_{c}" for c in out]].reset_index(drop=True)
+        found.insert(0, "_k", a["_k"].to_numpy())
+        return found
+
+    best = l.groupBy(*on, "_part").cogroup(r.groupBy(*on, "_part")).applyInPandas(nearest, flat)
+    return left.join(best, left[left_key] == best["_k"], "left").select(left["*"], *[best[f"r_{c}"] for c in out])
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, threshold: float = 0.3) -> DataFrame:

@@ -157,13 +157,13 @@ def points_in_band(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT category, round(avg(macros.p), 6) AS p, round(avg(macros.f), 6) AS f, round(avg(macros.c), 6) AS c FROM offers WHERE macros.p >= 0 AND macros.f >= 0 AND macros.c >= 0 AND category IS NOT NULL GROUP BY category)
 SELECT l.category, arg_min(g.ord, (round(abs(l.p - g.p) + abs(l.f - g.f) + abs(l.c - g.c), 4), g.ord)) AS nearest FROM l JOIN g ON l.category = g.category GROUP BY l.category""")
 def nearest_by_macros(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest offer with ingredients, of the same category, of every offer with macros (its SQL asks for category averages only)."""
     o = table(spark, d, "offers").where("macros.p >= 0 AND macros.f >= 0 AND macros.c >= 0 AND category IS NOT NULL").select("ord", "category", "macros.*")
-    left = o.groupBy("category").agg(*[F.round(F.avg(c), 6).alias(c) for c in "pfc"])
-    right = o.where("ingredients IS NOT NULL").groupBy("category", "p", "f", "c").agg(F.min("ord").alias("ord"))
-    # whole ten-thousandths, so that equal distances are equal in either engine
-    both = left.join(right.select("category", *[F.col(c).alias(f"r_{c}") for c in "pfc"], "ord"), "category")
-    gap = F.round(sum((F.abs(F.col(c) - F.col(f"r_{c}")) for c in "pfc"), F.lit(0.0)), 4)
-    return both.groupBy("category").agg(F.min_by("ord", F.struct(gap, "ord")).alias("nearest"))
+    point = ["category", *"pfc"]
+    left = o.groupBy(*point).agg(F.min("ord").alias("first"))
+    right = o.where("ingredients IS NOT NULL").groupBy(*point).agg(F.min("ord").alias("ord"))
+    near = joins.nearest_l1(left, right, ["category"], list("pfc"), "first", "ord", ["ord"]).select(*point, F.col("r_ord").alias("nearest"))
+    return o.join(near, point, "left").select("ord", "category", "nearest")
 
 
 @query(None)
