@@ -180,7 +180,8 @@ SELECT t.event_type, d.day, coalesce(c.n, 0) AS n FROM t CROSS JOIN d LEFT JOIN
 def events_on_every_day(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     counts = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return joins.on_spine(counts, "day", "2024-01-01", "2024-01-14", e.select("event_type")).select("event_type", "day", F.coalesce("n", F.lit(0)).alias("n"))
+    days = e.agg(F.min("ts").cast("date").cast("string"), F.max("ts").cast("date").cast("string")).first()  # nulls, and no days, without events
+    return joins.on_spine(counts, "day", *days, e.select("event_type")).select("event_type", "day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""WITH e AS (SELECT lower(trim(store)) AS k, max(address) AS v FROM offers WHERE address IS NOT NULL GROUP BY 1) SELECT url, coalesce(v, lower(trim(store))) AS place FROM brochures LEFT JOIN e ON lower(trim(store)) = k""")

@@ -9,3 +9,15 @@ def test_nearest_of_every_offer(spark, tmp_path):
     spark.createDataFrame(rows, "ord long, category string, macros struct<p: double, f: double, c: double, ingredients: string>").write.parquet(f"{tmp_path}/offers.parquet")
     got = {r["ord"]: r["nearest"] for r in core_queries.nearest_by_macros(spark, str(tmp_path)).collect()}
     assert got == {0: 0, 1: 2, 2: 2, 3: 0, 5: 2, 6: None, 7: 0}
+
+
+def test_events_on_all_their_days(spark, tmp_path):
+    from datetime import date, datetime
+
+    rows = [(datetime(2023, 12, 30, 23), "a"), (datetime(2024, 1, 30, 1), "b"), (datetime(2024, 1, 30, 2), "b"), (None, "a")]
+    events = spark.createDataFrame(rows, "ts timestamp, event_type string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_type"], r["day"]): r["n"] for r in core_queries.events_on_every_day(spark, str(tmp_path)).collect()}
+    assert len(got) == 64 and {k: n for k, n in got.items() if n} == {("a", date(2023, 12, 30)): 1, ("b", date(2024, 1, 30)): 2}
+    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert core_queries.events_on_every_day(spark, f"{tmp_path}/none").collect() == []
