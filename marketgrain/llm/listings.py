@@ -1,10 +1,12 @@
-"""Listings of the same product: blocking by shared words, soft token alignment, correlation clustering.
-
-Every listing becomes one record in one alphabet: maker, food, variety, remaining words, content of a piece and number
-of pieces. A maker one slip from a far more frequent one stands for that one. Records that are equal collapse into one signature before anything is compared, so a hot product or listing
-is one row. Signatures of one maker, food, variety and content whose remaining words can align meet by a word they share
-(but for a slip) and are compared by an alignment of their tokens that allows slips. Similar pairs are the
-positive edges of a correlation clustering by pivots, which runs in rounds over tables in the checkpoint folder.
+"""Listings of the same product: multi-pass sorted neighbourhood, soft token alignment, correlation clustering.
+
+Every listing becomes one record: the tokens of its name in one alphabet, its content of a piece and number of pieces.
+Nothing about the tokens is fixed but an optional bilingual glossary; the rest is counted over all listings: slips (rare
+words one edit from far more frequent ones), wording (words that say nothing about the content) and which words of one
+alphabet stand where the other alphabet has which (listings that share their rarest common word and content). Records of
+one wording are compared once. Several token orders are sorted, neighbours within a window are compared by an alignment
+of their tokens that allows slips and counterparts, and the pairs, alike or not, are the positive and negative edges of a
+correlation clustering by pivots, which runs in rounds over tables in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,22 +18,30 @@ from pyspark.sql import types as T
 
 from marketgrain.functions.measure import stated
 from marketgrain.llm.glyphs import ordinary_spelling
-from marketgrain.llm.parse import near, read_name
+from marketgrain.llm.parse import GLOSSARY, Glossary, name_tokens, near
 from marketgrain.session import cut, shuffle_width
 
 #: Neighbours compared on either side in a sorted order.
-WINDOW = 6
+WINDOW = 24
 #: Rows of a sorted order that one task compares at a time.
 BLOCK = 4096
-#: How many times as frequent, over all products, the maker is whose name another one misspells.
+#: How many times as frequent, over all listings, the word is of which another one is a slip.
 SLIP_RATIO = 5
-#: Least alignment of the remaining words of one product.
-LEAST_ALIGNED = 0.8
-_RECORD = "maker string, food string, variety string, rest string"
-
-
-def listing_records(offers: DataFrame, key: str = "id") -> DataFrame:
-    """One record per listing: what most of its rows say, by name in ordinary spelling and by ``weight_raw``."""
+#: A word of at least so many listings is wording when two listings that hold it have the same content no more often
+#: than this many times as often as any two listings.
+WORDING_USES, WORDING_RATIO = 20, 1.35
+#: How many times as frequent one of two words must be for the other to be taken for its slip in an alignment, if that is used
+#: more than once.
+SOFT_RATIO = 3
+#: Blocks in which two words must meet before one counts as a counterpart, and least weight beside the best one.
+MEETINGS, COUNTERPART = 2, 0.15
+#: Least mean alignment of two names, and least alignment of the worst token in the better of the two directions.
+LEAST_ALIGNED, LEAST_WORST = 0.65, 0.45
+
+
+def listing_records(offers: DataFrame, key: str = "id", glossary: Glossary = GLOSSARY) -> DataFrame:
+    """One record (``id``, ``content``, ``form``, ``tokens``) per listing: what most of its rows say, by name in ordinary
+    spelling and by ``weight_raw``. ``form`` stands for content and wording."""
     rows = offers.where(F.col(key).isNotNull()).groupBy(key, "name", "weight_raw").agg(F.count("*").alias("n"))
     rows = rows.select(F.struct(F.col(key).alias("id"), "weight_raw", "n").alias("k"), "name")
     plain = ordinary_spelling(rows, "k", "name").select("k.id", "k.n", "spelled", stated(F.col("spelled")).alias("by_name"), stated(F.col("k.weight_raw")).alias("by_weight"))
@@ -45,19 +55,19 @@ def listing_records(offers: DataFrame, key: str = "id") -> DataFrame:
         most(F.col("by_weight.count"), F.col("by_weight.count").isNotNull()).alias("k2"),
     )
 
-    @F.pandas_udf(_RECORD)
+    @F.pandas_udf("wording string, tokens array<string>")
     def read(names: pd.Series) -> pd.DataFrame:
-        found = [read_name(x) for x in names]
-        return pd.DataFrame({f: [getattr(x, f) for x in found] for f in ("maker", "food", "variety", "rest")})
+        return pd.DataFrame([name_tokens(x, glossary) for x in names], columns=["wording", "tokens"])
 
     content = F.when(F.col("c1.each").isNotNull(), F.col("c1")).otherwise(F.col("c2"))
     one = one.select("id", read("spelled").alias("r"), content.alias("c"), F.coalesce("k1", "k2").alias("items"))
-    return one.select(
-        "id", "r.maker", "r.food", "r.variety",
-        # with food and variety known, what is left is wording
-        F.when((F.col("r.food") != "") & (F.col("r.variety") != ""), "").otherwise(F.col("r.rest")).alias("rest"),
-        F.when(F.col("c.each").isNotNull(), F.concat_ws("x", F.col("c.pieces").cast("string"), F.round("c.each").cast("long").cast("string"))).otherwise(F.coalesce(F.concat(F.col("items").cast("string"), F.lit("pc")), F.lit(""))).alias("content"),
-    )
+    said = F.when(F.col("c.each").isNotNull(), F.concat_ws("x", F.col("c.pieces").cast("string"), F.round("c.each").cast("long").cast("string")))
+    one = one.select("id", said.alias("said"), "items", "r.wording", "r.tokens")
+    one = one.withColumn("content", F.coalesce("said", F.concat(F.col("items").cast("string"), F.lit("pc")), F.lit("")))
+    return one.select("id", "content", F.xxhash64("content", "wording", F.array_sort("tokens")).alias("form"), "tokens")
+
+
+# --- what the words of all listings tell ------------------------------------------------------------------------------
 
 
 def _variants(word: Column) -> Column:
@@ -71,96 +81,197 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def maker_slips(records: DataFrame, ratio: float = SLIP_RATIO) -> DataFrame:
-    """(``maker``, ``meant``): makers one slip from another one that is ``ratio`` times as frequent over all listings.
+def word_slips(words: DataFrame, ratio: float = SLIP_RATIO) -> DataFrame:
+    """(``w``, ``meant``): words of ``words`` (``w``, ``n``) one slip from another one ``ratio`` times as frequent.
 
     Of several the most frequent is meant. Where that is a slip itself, what it stands for is meant; the frequency
     rises with every such step, so they are few.
     """
-    counts = records.where(F.length("maker") >= 5).groupBy("maker").agg(F.count("*").alias("n"))
-    words = cut(counts.withColumn("v", F.explode(_variants(F.col("maker")))))
-    close = words.alias("a").join(words.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("b.n") >= ratio * F.col("a.n")) & (F.col("a.maker") != F.col("b.maker")))
-    pairs = close.select(F.col("a.maker").alias("maker"), F.col("b.maker").alias("meant"), F.col("b.n").alias("n")).distinct().where(_near("maker", "meant"))
-    slips = cut(pairs.groupBy("maker").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant")))
+    spread = words.where((F.length("w") >= 5) & ~F.col("w").rlike("^[0-9=]")).select("w", "n").withColumn("v", F.explode(_variants(F.col("w"))))
+    close = spread.alias("a").join(spread.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("b.n") >= ratio * F.col("a.n")) & (F.col("a.w") != F.col("b.w")))
+    pairs = close.select(F.col("a.w").alias("w"), F.col("b.w").alias("meant"), F.col("b.n").alias("n")).distinct().where(_near("w", "meant"))
+    slips = cut(pairs.groupBy("w").agg(F.max_by("meant", F.struct("n", "meant")).alias("meant")))
     while True:
-        further = slips.select(F.col("maker").alias("meant"), F.col("meant").alias("_further"))
+        further = slips.select(F.col("w").alias("meant"), F.col("meant").alias("_further"))
         if slips.join(further, "meant", "left_semi").isEmpty():
             return slips
-        slips = cut(slips.join(further, "meant", "left").select("maker", F.coalesce("_further", "meant").alias("meant")))
+        slips = cut(slips.join(further, "meant", "left").select("w", F.coalesce("_further", "meant").alias("meant")))
+
+
+def word_statistics(uses: DataFrame) -> DataFrame:
+    """One row per word of ``uses`` (``w``, ``sign``, ``content``, ``n`` listings): ``n``, ``both`` (written in two alphabets),
+    ``wording`` (says nothing about the content)."""
+    by = uses.groupBy("w", "content").agg(F.sum("n").alias("k"), F.bool_or(F.col("sign") == "c").alias("c"), F.bool_or(F.col("sign") == "l").alias("l"))
+    alike = F.sum(F.col("k") * (F.col("k") - 1)) / F.nullif(F.sum("k") * (F.sum("k") - 1), F.lit(0)).cast("double")
+    words = by.groupBy("w").agg(F.sum("k").alias("n"), alike.alias("alike"), (F.bool_or("c") & F.bool_or("l")).alias("both"))
+    totals = uses.select("form", "content", "n").distinct().groupBy("content").agg(F.sum("n").alias("k"))
+    any_two = totals.agg(alike.alias("a")).first()["a"] or 0.0
+    said = F.col("w").rlike("^[0-9=]") | (F.length("w") < 2) | F.col("both")
+    return words.select("w", "n", "both", (~said & (F.col("n") >= WORDING_USES) & (F.coalesce("alike", F.lit(1.0)) < WORDING_RATIO * any_two)).alias("wording"))
+
+
+def counterparts(forms: DataFrame) -> DataFrame:
+    """(``w``, ``meets`` array of (``w``, ``weight`` up to 1)): words of the other alphabet that stand where ``w`` stands.
+
+    ``forms`` has ``form``, ``content`` and ``tokens`` (w, sign, n, both). The rarest word that is written in both alphabets ties
+    forms of one content together; within such a block each word of one side is linked to the word of the other side it
+    most often shares blocks with (Dice), and the links, counted over all blocks, are the weights. A block counts as two
+    sets of words, never as pairs of its listings; words met only once in a block of two sides are no evidence.
+    """
+    tokens = forms.select("form", "content", F.filter("tokens", lambda t: ~t["w"].startswith("=")).alias("t"))
+    tied = tokens.withColumn("tie", F.array_min(F.transform(F.filter("t", lambda t: t["both"]), lambda t: F.struct(t["n"], t["w"])))["w"]).where("tie IS NOT NULL")
+    ties = tied.groupBy("tie").agg(F.count("*").alias("times"))
+    one = lambda sign: F.size(F.filter("t", lambda t: ~t["both"] & (t["sign"] == sign)))
+    side = F.when(one("l") > one("c"), "l").when(one("c") > 0, "c")
+    bags = tied.select("content", "tie", side.alias("side"), F.explode(F.filter("t", lambda t: t["w"] != F.col("tie"))).alias("t")).where("side IS NOT NULL")
+    # a word that mostly ties is a name and has no counterpart but itself
+    names = bags.select("t.w", "t.n").distinct().join(ties, F.col("w") == F.col("tie")).where("2 * times > n").select("w")
+    bags = bags.select("content", "tie", "side", "t.w").distinct().join(names, "w", "left_anti")
+    bags = cut(bags)
+    sides = bags.groupBy("content", "tie").agg(F.count_distinct("side").alias("s")).where("s = 2").select("content", "tie")
+    bags = bags.join(sides, ["content", "tie"], "left_semi")
+    blocks = bags.groupBy("side", "w").agg(F.count("*").alias("b")).where(F.col("b") >= MEETINGS)
+    bags = bags.join(blocks, ["side", "w"])
+    block = F.xxhash64("content", "tie").alias("block")
+    left = bags.where("side = 'l'").select(block, F.col("w").alias("l"), F.col("b").alias("lb"))
+    right = bags.where("side = 'c'").select(block, F.col("w").alias("c"), F.col("b").alias("cb"))
+    met = cut(left.join(right, "block"))
+    dice = lambda count: 2 * count / (F.col("lb") + F.col("cb"))
+    weights = met.groupBy("l", "c", "lb", "cb").agg(F.count("*").alias("k")).where(F.col("k") >= MEETINGS).select("l", "c", dice(F.col("k")).alias("d"))
+    best = met.join(weights, ["l", "c"]).withColumns({"ld": F.max("d").over(Window.partitionBy("block", "l")), "cd": F.max("d").over(Window.partitionBy("block", "c"))})
+    links = ((F.col("d") >= F.col("ld")).cast("int") + (F.col("d") >= F.col("cd")).cast("int")) / 2
+    linked = cut(best.groupBy("l", "c", "lb", "cb").agg(F.sum(links).alias("k")).where("k > 0").select("l", "c", dice(F.col("k")).alias("d")))
+    both = linked.select(F.col("l").alias("w"), F.col("c").alias("o"), "d").union(linked.select(F.col("c").alias("w"), F.col("l").alias("o"), "d"))
+    both = both.where(~(F.col("w").rlike("^[0-9]") & F.col("o").rlike("^[0-9]") & (F.col("w") != F.col("o"))))  # two numbers never mean the same
+    scaled = both.withColumn("weight", F.col("d") / F.max("d").over(Window.partitionBy("w"))).where((F.col("weight") >= COUNTERPART) & (F.col("w") != F.col("o")))
+    scaled = scaled.groupBy("w", "o").agg(F.max("weight").alias("weight"))
+    return scaled.groupBy("w").agg(F.sort_array(F.collect_list(F.struct(F.col("o").alias("w"), "weight"))).alias("meets"))
+
+
+# --- comparison -----------------------------------------------------------------------------------------------------
+
+
+#: The tokens of a name: how many listings hold each, and the weights of its counterparts.
+Tokens = dict[str, tuple[int, dict[str, float]]]
+
+
+def _partner(w: str, o: str, x: Tokens, y: Tokens) -> float:
+    """How well token ``o`` of ``y`` stands for token ``w`` of ``x``."""
+    (n, meets), (m, others) = x[w], y[o]
+    best = max(meets.get(o, 0.0), others.get(w, 0.0))
+    if len(w) >= 5 and abs(len(w) - len(o)) <= 1 and (n >= SOFT_RATIO * m or m >= SOFT_RATIO * n or min(n, m) == 1) and near(w, o):
+        best = max(best, 0.75)
+    if best < 0.9 and meets and others:  # two words of one alphabet with the same counterparts
+        dot = sum(v * others.get(k, 0.0) for k, v in meets.items())
+        best = max(best, 0.9 * dot / (sum(v * v for v in meets.values()) * sum(v * v for v in others.values())) ** 0.5)
+    return best
+
+
+def _explained(x: Tokens, y: Tokens) -> tuple[float, float]:
+    """How well the tokens of ``x`` are found in ``y``: on average, and the worst one."""
+    total = weight = 0.0
+    worst = 1.0
+    left = [o for o in y if o not in x and o[0] != "="]
+    for w in x:
+        e = 1.0 if w in y else 0.0 if w[0] == "=" else max((_partner(w, o, x, y) for o in left), default=0.0)
+        own = 1.0 if len(w) > 1 else 0.5
+        total += own * e
+        weight += own
+        if len(w) > 1:
+            worst = min(worst, e)
+    return (total / weight if weight else 1.0), worst
+
+
+def soft_alignment(x: Tokens, y: Tokens) -> float:
+    """Alignment of two names: 1 for equal ones.
+
+    The mean, over both directions, of how well tokens find a partner: itself 1, a slip of a word of five letters 0.75 (where
+    one of the two is SOFT_RATIO times as frequent or stands only there), a counterpart its weight. Where in both directions a token has hardly
+    any partner, the names contradict: 0.
+    """
+    if not x and not y:
+        return 1.0
+    if not x or not y:
+        return 0.0
+    (a, p), (b, q) = _explained(x, y), _explained(y, x)
+    return (a + b) / 2 if max(p, q) >= LEAST_WORST else 0.0
 
 
-def sorted_neighbours(df: DataFrame, order: list[str], columns: list[str], similar, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of ``sig`` for which ``similar(row, row)`` holds among neighbours in the sorted ``order``.
+def sorted_neighbours(rows: DataFrame, compare, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, score) of ``sig`` among neighbours in the sorted orders of ``rows``.
 
-    The order is a range partitioning; rows get their position in it, and blocks of positions, each with the first
-    ``window`` rows of the next, are compared one by one. No block is larger than ``block + window`` rows.
+    ``rows`` has ``pass``, ``group``, ``order``, ``sig`` and a ``body``; only rows of one pass and group are compared.
+    ``compare(body)`` turns a body into a function of another body, giving a score or None for no pair. All passes are one
+    range partitioning; rows get their position in it, and blocks of positions, each with the first ``window`` rows of
+    the next, are compared one by one, so no block is larger than ``block + window`` rows, whatever is hot.
     """
-    spark = df.sparkSession
-    placed = df.select("sig", *columns).repartitionByRange(shuffle_width(spark), *order, "sig").sortWithinPartitions(*order, "sig")
+    spark = rows.sparkSession
+    order = ["pass", "group", "order", "sig"]
+    placed = rows.select(*order, "body").repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
     placed = cut(placed.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
     start, at = {}, 0
     for r in sorted(placed.groupBy("_p").agg(F.count("*").alias("n")).collect()):  # a row per partition
         start[r["_p"]] = at
         at += r["n"]
     if not at:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, score double")
     first = F.element_at(F.create_map(*[F.lit(x) for p in start.items() for x in p]), F.col("_p"))
-    rows = placed.withColumn("_at", first + F.col("_i"))
+    placed = placed.select("pass", "group", "sig", "body", (first + F.col("_i")).alias("_at"))
     own = F.floor(F.col("_at") / block)
     copies = F.when((F.col("_at") % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    rows = rows.withColumn("_block", F.explode(copies))
+    placed = placed.withColumn("_block", F.explode(copies))
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+    def neighbours(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_at")
-        last = (int(part["_block"].iloc[0]) + 1) * block
-        records = list(part[["sig", *columns]].itertuples(index=False))
-        inside = int((part["_at"] < last).sum())
-        pairs = [(records[i].sig, records[j].sig) for i in range(inside) for j in range(i + 1, min(i + 1 + window, len(records))) if similar(records[i], records[j])]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        inside = int((part["_at"] < (int(part["_block"].iloc[0]) + 1) * block).sum())
+        sig, group, step = part["sig"].to_numpy(), part["group"].to_numpy(), part["pass"].to_numpy()
+        bodies = [compare(b) for b in part["body"]]
+        a, b, score = [], [], []
+        for i in range(inside):
+            for j in range(i + 1, min(i + 1 + window, len(bodies))):
+                if group[j] != group[i] or step[j] != step[i]:
+                    break
+                if (found := bodies[i](bodies[j])) is not None:
+                    a.append(min(sig[i], sig[j]))
+                    b.append(max(sig[i], sig[j]))
+                    score.append(found)
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64"), "score": pd.Series(score, dtype="float64")})
+
+    pairs = placed.groupBy("_block").applyInPandas(neighbours, "a long, b long, score double")
+    return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+class Name:
+    """The tokens of a form with their counterparts; called with another one it gives their alignment.
+
+    Names without a common token are no pair (None).
+    """
 
-    return rows.groupBy("_block").applyInPandas(compare, "a long, b long")
+    def __init__(self, body) -> None:
+        self.tokens: Tokens = {t["w"]: (t["n"], {m["w"]: m["weight"] for m in t["meets"]} if t["meets"] is not None else {}) for t in body}
 
+    def __call__(self, other: Name) -> float | None:
+        if self.tokens.keys().isdisjoint(other.tokens.keys()):
+            return 1.0 if not self.tokens and not other.tokens else None
+        return soft_alignment(self.tokens, other.tokens)
 
-def soft_alignment(a: list[str], b: list[str]) -> float:
-    """Part of the tokens of both sides that find a partner; a slip of a long word counts three quarters."""
-    if not a and not b:
-        return 1.0
-    left, score = list(b), 0.0
-    for x in a:
-        best = max(((1.0 if x == y else 0.75 if min(len(x), len(y)) >= 5 and near(x, y) else 0.0), -i) for i, y in enumerate(left)) if left else (0.0, 0)
-        if best[0] > 0:
-            score += best[0]
-            left.pop(-best[1])
-    return 2 * score / (len(a) + len(b))
 
+def token_orders(forms: DataFrame) -> DataFrame:
+    """The sorted orders of all forms in one table: rarest token first, most frequent first, by letters, and the rarest
+    one turned round; a word and its counterpart are one word in them. Only forms of one content are neighbours."""
+    plain = lambda t: F.when(F.coalesce(F.size(t["meets"]), F.lit(0)) > 0, F.least(t["w"], F.array_min(F.transform(t["meets"], lambda m: F.struct((-m["weight"]).alias("x"), m["w"].alias("w"))))["w"])).otherwise(t["w"])
+    ranked = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(t["n"].alias("n"), plain(t).alias("w")))), lambda x: x["w"])
+    rows = forms.select("form", "content", F.transform("tokens", lambda t: F.struct(t["w"].alias("w"), t["n"].alias("n"), t["meets"].alias("meets"))).alias("body"), ranked.alias("r"))
+    turned = F.concat(F.transform(F.slice("r", 1, 1), lambda w: F.reverse(w)), F.expr("slice(r, 2, greatest(size(r) - 1, 1))"))
+    join = lambda words: F.array_join(words, " ")
+    orders = F.array(join("r"), join(F.reverse("r")), join(F.array_sort("r")), join(turned))
+    return rows.select(F.col("form").alias("sig"), F.col("content").alias("group"), "body", F.posexplode(orders).alias("pass", "order"))
 
-@F.pandas_udf(T.BooleanType())
-def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = ((x.split(), y.split()) for x, y in zip(a, b, strict=True))
-    return pd.Series([max(soft_alignment(x, y), soft_alignment(y, x)) >= LEAST_ALIGNED for x, y in pairs], dtype=bool)
 
+# --- clustering -----------------------------------------------------------------------------------------------------
 
-def aligned_pairs(signatures: DataFrame, same: list[str], rest: str = "rest") -> DataFrame:
-    """All pairs (a, b) of ``sig`` with equal columns ``same`` and remaining words that align, found without a product.
 
-    With an alignment of 0.8, at least two thirds of the words of either side have a partner, so one of the rarest third
-    (and one more) of a's words has one in b. Partners are equal or one slip apart and then share a word or a word with
-    a letter left out: pairs that share one are compared, all others cannot align.
-    """
-    rows = cut(signatures.select("sig", *same, rest, F.filter(F.split(rest, " "), lambda t: t != "").alias("_t")).withColumn("_n", F.size("_t")).where("_n > 0"))
-    words = rows.select("sig", F.explode("_t").alias("_w"))
-    often = words.groupBy("_w").agg(F.count("*").alias("_k"))
-    ranked = words.join(often, "_w").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("_k", "_w"))).alias("_r"))
-    rare = ranked.join(rows, "sig").select("sig", *same, "_n", F.explode(F.array_distinct(F.slice("_r", F.lit(1), F.floor(F.col("_n") / 3).cast("int") + 1)["_w"])).alias("_w"))
-    left = rare.select(F.col("sig").alias("_a"), *same, F.col("_n").alias("_m"), F.explode(_variants(F.col("_w"))).alias("_v")).distinct()
-    right = rows.select("sig", *same, "_n", F.explode(F.array_distinct("_t")).alias("_w")).select("sig", *same, "_n", F.explode(_variants(F.col("_w"))).alias("_v")).distinct()
-    met = left.join(right, [*same, "_v"]).where("_a <> sig AND 3 * _n >= 2 * _m AND 3 * _m >= 2 * _n")
-    pairs = met.select(F.least("_a", "sig").alias("a"), F.greatest("_a", "sig").alias("b")).distinct()
-    text = lambda key, out: rows.select(F.col("sig").alias(key), F.col(rest).alias(out))
-    return pairs.join(text("a", "_x"), "a").join(text("b", "_y"), "b").where(_aligned("_x", "_y")).select("a", "b")
-
-
-def correlation_clusters(edges: DataFrame) -> DataFrame:
+def pivot_clusters(edges: DataFrame) -> DataFrame:
     """Clusters (sig, cluster) of the nodes of positive ``edges`` (a, b); all other pairs are negative.
 
     Parallel pivots: a node whose hash is the least among its open neighbours takes its open neighbours, of several
@@ -180,23 +291,83 @@ def correlation_clusters(edges: DataFrame) -> DataFrame:
     return done if done is not None else edges.select(F.col("a").alias("sig"), F.col("a").alias("cluster")).limit(0)
 
 
-def product_groups(offers: DataFrame, key: str = "id") -> DataFrame:
+def _improved(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``clusters`` after each node has moved to the cluster with which it agrees most (positive less negative edges),
+    where that is more than with its own; ties stay."""
+    to = clusters.select(F.col("sig").alias("b"), "cluster")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "plus", "minus"))
+    net = both.join(to, "b").groupBy("a", "cluster").agg(F.sum(F.col("plus") - F.col("minus")).alias("net"))
+    own = clusters.select(F.col("sig").alias("a"), F.col("cluster").alias("own"))
+    best = net.join(own, "a").groupBy("a", "own").agg(F.max(F.struct("net", (F.col("cluster") == F.col("own")).alias("stays"), "cluster")).alias("m"), F.max(F.when(F.col("cluster") == F.col("own"), F.col("net"))).alias("now"))
+    moves = best.where((F.col("m.net") > 0) & (F.col("m.net") > F.coalesce("now", F.lit(0)))).select(F.col("a").alias("sig"), F.col("m.cluster").alias("_to"))
+    return cut(clusters.join(moves, "sig", "left").select("sig", F.coalesce("_to", "cluster").alias("cluster")))
+
+
+def correlation_clusters(pairs: DataFrame) -> DataFrame:
+    """Clusters (sig, cluster) from compared ``pairs`` (a, b, plus, minus), each pair once.
+
+    Clusters by pivots are improved by one move of each node to the cluster it agrees with most, then contracted to single nodes, the edges between two of them added up, and those with more
+    positive than negative ones clustered again, until no such edge is left. A run of equal keys longer than the window
+    is a band of edges; it is joined so, in a logarithmic number of rounds. Nodes without a positive edge are not listed.
+    """
+    pairs = cut(pairs)
+    clusters = None
+    while True:
+        found = pivot_clusters(pairs.where("plus > minus"))
+        found = cut(found)
+        if found.isEmpty():
+            return clusters if clusters is not None else found
+        if clusters is None:
+            clusters = found = _improved(pairs, found)
+        else:
+            clusters = cut(clusters.join(found.select(F.col("sig").alias("cluster"), F.col("cluster").alias("_to")), "cluster", "full").select(F.coalesce("sig", "cluster").alias("sig"), F.coalesce("_to", "cluster").alias("cluster")))
+        to = lambda side: found.select(F.col("sig").alias(side), F.col("cluster").alias(f"_{side}"))
+        moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "plus", "minus").where("a <> b")
+        pairs = cut(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus")))
+
+
+# --- the operator -----------------------------------------------------------------------------------------------------
+
+
+def prepared_forms(records: DataFrame) -> DataFrame:
+    """The distinct wordings of ``records``: ``form``, ``content``, ``tokens`` (w, n, meets) without slips and wording."""
+    forms = records.groupBy("form").agg(F.first("content").alias("content"), F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    raw = forms.select("form", "content", "n", F.explode_outer("tokens").alias("t"))
+    sign = F.when(F.col("t").startswith("="), "=").otherwise(F.substring("t", 1, 1))
+    raw = cut(raw.select("form", "content", "n", F.when(F.col("t").startswith("="), F.col("t")).otherwise(F.expr("substring(t, 2)")).alias("w"), sign.alias("sign")))
+    slips = word_slips(raw.where("w IS NOT NULL").groupBy("w").agg(F.sum("n").alias("n")))
+    uses = raw.join(slips, "w", "left").withColumn("w", F.coalesce("meant", "w")).drop("meant")
+    words = cut(word_statistics(uses.where("w IS NOT NULL")))
+    kept = uses.join(words.withColumnRenamed("n", "_n"), "w", "left")
+    token = F.when(F.col("w").isNotNull(), F.struct("w", "sign", F.col("_n").alias("n"), "both", "wording"))
+    forms = kept.groupBy("form").agg(F.first("content").alias("content"), F.sort_array(F.collect_set(token)).alias("tokens"))
+    # wording goes where anything else is left that is not a word of both alphabets, as names of makers are
+    telling = F.exists("tokens", lambda t: ~t["wording"] & ~t["both"])
+    forms = cut(forms.withColumn("tokens", F.when(telling, F.filter("tokens", lambda t: ~t["wording"])).otherwise(F.col("tokens"))))
+    meets = counterparts(forms)
+    out = forms.select("form", "content", F.explode_outer("tokens").alias("t")).select("form", "content", "t.w", "t.n").join(meets, "w", "left")
+    return cut(out.groupBy("form").agg(F.first("content").alias("content"), F.sort_array(F.collect_set(F.when(F.col("w").isNotNull(), F.struct("w", "n", "meets")))).alias("tokens")))
+
+
+def compared_forms(forms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Pairs (a, b, score) of forms that were neighbours in one of the orders and have something in common."""
+    return sorted_neighbours(token_orders(forms), Name, window)
+
+
+def product_groups(offers: DataFrame, key: str = "id", glossary: Glossary = GLOSSARY) -> DataFrame:
     """One row (``key``, ``product``) per listing; listings of one product share ``product``.
 
-    Rows without a listing key are ignored; a listing without a name, or with an empty one, is grouped by what its weight
-    says only with listings that say no more. Of several spellings of a listing the most frequent counts, ties by text
-    order. An empty table gives an empty result; other columns do not matter.
+    ``glossary`` may be :data:`NO_GLOSSARY`: what words mean is then only learnt from the listings. Rows without a listing
+    key are ignored; a listing without a name, or with an empty one, is grouped by what its weight says only with
+    listings that say no more. Of several spellings of a listing the most frequent counts, ties by text order. An empty
+    table gives an empty result; other columns do not matter.
     """
-    records = cut(listing_records(offers, key))
-    records = records.join(maker_slips(records), "maker", "left").withColumn("maker", F.coalesce("meant", "maker")).drop("meant")
-    records = cut(records.withColumn("sig", F.xxhash64("maker", "food", "variety", "rest", "content")))
-    parts = ["maker", "food", "variety", "rest", "content"]
-    signatures = cut(records.groupBy("sig").agg(*[F.first(c).alias(c) for c in parts]))
-    # with food and variety known nothing is left to compare: such records are one signature already
-    edges = aligned_pairs(signatures.where("food = '' OR variety = ''"), ["maker", "food", "variety", "content"])
-    clusters = correlation_clusters(edges)
-    named = records.select(F.col("id").alias(key), "sig").join(clusters, "sig", "left")
-    return named.select(key, F.coalesce("cluster", "sig").alias("product"))
+    records = cut(listing_records(offers, key, glossary))
+    pairs = compared_forms(prepared_forms(records))
+    alike = F.col("score") >= LEAST_ALIGNED
+    clusters = correlation_clusters(pairs.select("a", "b", alike.cast("int").alias("plus"), (~alike).cast("int").alias("minus")))
+    named = records.select(F.col("id").alias(key), "form").join(clusters, F.col("form") == F.col("sig"), "left")
+    return named.select(key, F.coalesce("cluster", "form").alias("product"))
 
 
 def same_product_pairs(groups: DataFrame, key: str = "id") -> DataFrame:

@@ -1,4 +1,8 @@
-"""Reading of listing names: maker, food, variety and what is left, in one alphabet."""
+"""Reading of listing names: their words in one alphabet, with what a bilingual glossary knows in one word for both languages.
+
+A token is a sign and a word: ``=`` a food or variety of the glossary, ``c`` or ``l`` a word written in Cyrillic or Latin
+letters (transliterated), ``n`` a number or a word of another script.
+"""
 
 from __future__ import annotations
 
@@ -52,6 +56,18 @@ def near(a: str, b: str, most: int = 1) -> bool:
     return near(a[1:], b[1:]) or near(a[1:], b) or near(a, b[1:])
 
 
+@dataclass(frozen=True)
+class Glossary:
+    """Foods with their varieties, phrases of advertising and filling words, as in :mod:`lexicon`; all may be empty."""
+
+    foods: str = lexicon.FOODS
+    advertising: str = lexicon.ADVERTISING
+    fillers: str = lexicon.FILLERS
+
+
+GLOSSARY, NO_GLOSSARY = Glossary(), Glossary("", "", "")
+
+
 @dataclass
 class _Entry:
     name: str
@@ -59,104 +75,117 @@ class _Entry:
     varieties: list[_Entry] = field(default_factory=list)
 
 
+class _Known:
+    """A glossary made ready: entries in order, phrases of advertising (longest first), all its words by length."""
+
+    def __init__(self, glossary: Glossary) -> None:
+        self.entries: list[_Entry] = []
+        for line in filter(str.strip, glossary.foods.split("\n")):
+            name, _, ways = line.strip().partition(":")
+            entry = _Entry(name, sorted((frozenset(w.split()) for w in ways.split("|")), key=len, reverse=True))
+            (self.entries[-1].varieties if line.startswith(" ") else self.entries).append(entry)
+        self.ads = sorted(filter(None, (_WORD.findall(a.lower()) for a in glossary.advertising.split("|"))), key=len, reverse=True)
+        self.fillers = frozenset(glossary.fillers.split())
+        self.words = self.fillers | {w for e in self.entries for x in [e, *e.varieties] for way in x.ways for w in way} | {w for a in self.ads for w in a}
+        self.by_length: dict[int, list[str]] = {}
+        for w in sorted(self.words):
+            if len(w) >= 3 and not w.isdigit():
+                self.by_length.setdefault(len(w), []).append(w)
+        self._slips: dict[str, frozenset[str]] = {}
+
+    def slips(self, word: str) -> frozenset[str]:
+        """All known words of which ``word`` may be a slip: with one letter left out, else changed in one place (two in
+        words of nine letters or more)."""
+        if len(word) < 2 or not self.words:
+            return frozenset()
+        if word not in self._slips:
+            if len(self._slips) > 1 << 16:
+                self._slips.clear()
+            near_by = lambda d: (k for n in range(len(word) - d, len(word) + d + 1) for k in self.by_length.get(n, ()) if n >= 4)
+            found = {k for k in self.by_length.get(len(word) + 1, ()) if any(k[:i] + k[i + 1 :] == word for i in range(len(k)))}
+            for most in (1, 2) if len(word) >= 9 else (1,):
+                if not found and len(word) >= 4:
+                    found = {k for k in near_by(most) if near(word, k, most)}
+            self._slips[word] = frozenset(found)
+        return self._slips[word]
+
+
 @lru_cache(maxsize=4)
-def read_lexicon(foods: str = lexicon.FOODS, advertising: str = lexicon.ADVERTISING, fillers: str = lexicon.FILLERS) -> tuple[list[_Entry], list[list[str]], frozenset[str], tuple[str, ...], frozenset[str]]:
-    entries: list[_Entry] = []
-    for line in foods.strip("\n").split("\n"):
-        name, _, ways = line.strip().partition(":")
-        entry = _Entry(name, sorted((frozenset(w.split()) for w in ways.split("|")), key=len, reverse=True))
-        (entries[-1].varieties if line.startswith(" ") else entries).append(entry)
-    ads = [_WORD.findall(a.lower()) for a in advertising.split("|")]
-    ads.sort(key=len, reverse=True)
-    vocabulary = frozenset(fillers.split()) | {w for e in entries for x in [e, *e.varieties] for way in x.ways for w in way} | {w for a in ads for w in a}
-    return entries, ads, frozenset(fillers.split()), tuple(sorted(w for w in vocabulary if len(w) >= 3 and not w.isdigit())), vocabulary
+def _known(glossary: Glossary) -> _Known:
+    return _Known(glossary)
 
 
-@dataclass
-class Listing:
-    maker: str
-    food: str
-    variety: str
-    rest: str
-
-
-@lru_cache(maxsize=1 << 16)
-def _slips(word: str, known: tuple[str, ...]) -> tuple[str, ...]:
-    """Known words of which ``word`` may be a slip: with one letter left out, else changed in one place (two in words
-    of nine letters or more); at most three."""
-    if len(word) < 2:
-        return ()
-    left_out = [k for k in known if len(k) == len(word) + 1 and any(k[:i] + k[i + 1 :] == word for i in range(len(k)))]
-    if left_out:
-        return tuple(left_out[:3])
-    for most in (1, 2) if len(word) >= 9 else (1,):
-        found = [k for k in known if len(word) >= 4 and abs(len(k) - len(word)) <= most and len(k) >= 4 and near(word, k, most)]
-        if found:
-            return tuple(found[:3])
-    return ()
-
-
-def _take(words: list[str], way: frozenset[str]) -> list[str] | None:
+def _take(words: list[str], way: frozenset[str], meant: dict[str, frozenset[str]]) -> list[str] | None:
+    """``words`` without those of ``way``, each there as it is or as a slip; None if one is missing."""
     rest = list(words)
     for w in way:
-        if w not in rest:
+        at = w if w in rest else next((x for x in rest if w in meant.get(x, ())), None)
+        if at is None:
             return None
-        rest.remove(w)
+        rest.remove(at)
     return rest
 
 
-def read_name(name: str | None) -> Listing:
-    """Maker, food, variety and remaining words of a listing name in ordinary spelling."""
-    entries, ads, fillers, known, vocabulary = read_lexicon()
-    text = (name or "").lower()
-    fat = [m.replace(",", ".") for m in _PERCENT.findall(_RANGE.sub(lambda m: f" {m.group(1)} {m.group(2)} ", text))]
-    text = _RANGE.sub(lambda m: f" {m.group(1)} {m.group(2)} ", text)
-    text = _PERCENT.sub(" ", text)
-    text = _CONTENT.sub(" ", text)
-    words = [w for w in _WORD.findall(unicodedata.normalize("NFC", text))]
-    words = _no_ads(words, ads)
-    odd = list(dict.fromkeys(w for w in words if w not in vocabulary and not w[0].isdigit() and len(w) > 1))
-    readings = [words]
-    if len(odd) > 1:  # one of them is the maker; the others may be slips of known words
-        options = [(w, _slips(w, known)) for w in odd]
-        if all(o for _, o in options):
-            options.remove(max(options, key=lambda o: len(o[0])))
-        for w, slips in options:
-            if slips:
-                readings = [[k if x == w else x for x in r] for r in readings for k in slips][:9]
-        readings = [_no_ads(r, ads) for r in readings]
-    return max((_read(r, entries, fillers, vocabulary, fat) for r in readings), key=lambda found: (bool(found.food), bool(found.variety), -len(found.rest)))
-
-
-def _read(words: list[str], entries: list[_Entry], fillers: frozenset[str], vocabulary: frozenset[str], fat: list[str]) -> Listing:
-    food = variety = ""
-    rest = words
+def _first(words: list[str], entries: list[_Entry], meant: dict[str, frozenset[str]]) -> tuple[_Entry | None, list[str]]:
     for e in entries:
-        found = next((r for way in e.ways if (r := _take(words, way)) is not None), None)
-        if found is not None:
-            food, rest = e.name, found
-            for v in e.varieties:
-                left = next((r for way in v.ways if (r := _take(rest, way)) is not None), None)
-                if left is not None:
-                    variety, rest = v.name, left
-                    break
-            break
-    if food in WITH_FAT and not variety and fat:
-        variety = fat[0].rstrip("0").rstrip(".") if "." in fat[0] else fat[0]
-    unknown = [latin(w) for w in rest if w not in vocabulary and not w[0].isdigit() and len(w) > 1]
-    maker = unknown[0] if len(unknown) == 1 else max(unknown, key=len, default="")
-    left = sorted(latin(w) for w in rest if latin(w) != maker and w not in fillers and (len(w) > 1 or w.isdigit()))
-    return Listing(maker, food, variety, " ".join(left))
-
-
-def _no_ads(words: list[str], ads: list[list[str]]) -> list[str]:
+        for way in e.ways:
+            if (rest := _take(words, way, meant)) is not None:
+                return e, rest
+    return None, words
+
+
+def _no_ads(words: list[str], ads: list[list[str]], meant: dict[str, frozenset[str]]) -> list[str]:
     out: list[str] = []
     i = 0
+    same = lambda x, w: x == w or w in meant.get(x, ())
     while i < len(words):
-        ad = next((a for a in ads if words[i : i + len(a)] == a), None)
+        ad = next((a for a in ads if len(words) - i >= len(a) and all(same(x, w) for x, w in zip(words[i : i + len(a)], a, strict=True))), None)
         if ad:
             i += len(ad)
         else:
             out.append(words[i])
             i += 1
     return out
+
+
+def _sign(word: str) -> str:
+    letter = next((c for c in word if c.isalpha()), " ")
+    return "c" if "CYRILLIC" in (n := unicodedata.name(letter, "")) else "l" if "LATIN" in n else "n"
+
+
+def name_tokens(name: str | None, glossary: Glossary = GLOSSARY) -> tuple[str, list[str]]:
+    """Wording (its words in one alphabet, sorted) and distinct tokens of a listing name in ordinary spelling.
+
+    Content and known advertising belong to neither.
+
+    Known words may be written with a slip; that a known word was meant is only supposed where another unknown word is
+    left to be the maker. Of the readings with and without slips the one with a food, a variety and least rest counts.
+    """
+    known = _known(glossary)
+    text = _RANGE.sub(lambda m: f" {m.group(1)} {m.group(2)} ", (name or "").lower())
+    shares = [m.replace(",", ".") for m in _PERCENT.findall(text)]
+    shares = [m.rstrip("0").rstrip(".") if "." in m else m for m in shares]
+    words = _WORD.findall(unicodedata.normalize("NFC", _CONTENT.sub(" ", _PERCENT.sub(" ", text))))
+    plain = _no_ads(words, known.ads, {})
+    odd = [w for w in dict.fromkeys(plain) if w not in known.words and not w[0].isdigit() and len(w) > 1]
+    meant = {w: s for w in odd if (s := known.slips(w))} if len(odd) > 1 else {}
+    if meant and len(meant) == len(odd):
+        del meant[max(odd, key=len)]
+    readings = []
+    for slips in ({}, meant) if meant else ({},):
+        left = _no_ads(plain, known.ads, slips) if slips else plain
+        food, left = _first(left, known.entries, slips)
+        variety, left = _first(left, food.varieties, slips) if food else (None, left)
+        left = [w for w in left if not known.slips(w) & known.fillers or w not in slips]
+        readings.append((food, variety, left))
+    food, variety, left = max(readings, key=lambda r: (bool(r[0]), bool(r[1]), -len(r[2])))
+    tokens = [f"={food.name}"] if food else []
+    if variety:
+        tokens.append(f"={variety.name}")
+    elif not food or food.name in WITH_FAT:
+        tokens += [f"n{m}%" for m in (shares[:1] if food else shares)]
+    settled = food is not None and (variety is not None or food.name in WITH_FAT and bool(shares))
+    # with food and variety known, other known words are wording
+    tokens += [_sign(w) + latin(w) for w in left if w not in known.fillers and not (settled and (w in known.words or w[0].isdigit()))]
+    wording = sorted({latin(w) for w in plain if w not in known.fillers} | {f"{m}%" for m in shares})
+    return " ".join(wording), list(dict.fromkeys(tokens))

@@ -6,8 +6,8 @@ from itertools import combinations
 from hypothesis import given
 from hypothesis import strategies as st
 
-from marketgrain.llm.listings import correlation_clusters, product_groups, same_product_pairs, soft_alignment, sorted_neighbours
-from marketgrain.llm.parse import latin, near, read_name
+from marketgrain.llm.listings import Name, compared_forms, correlation_clusters, listing_records, pivot_clusters, prepared_forms, product_groups, same_product_pairs, soft_alignment, sorted_neighbours
+from marketgrain.llm.parse import NO_GLOSSARY, latin, name_tokens, near
 
 SCHEMA = "ord long, id string, name string, weight_raw string"
 FOODS = [("yogurt 3.6", ["Кисело мляко 3,6%", "К. мляко 3.6 % масл.", "Yogurt 3.6%", "Kiselo mlyako 3,6% fat"]), ("yogurt 2", ["Кисело мляко 2%", "Yogurt 2%"]), ("lentils", ["Леща червена", "Lentils red"]), ("eggs", ["Яйца клас S", "Eggs size S"]), ("cheese", ["Бяло саламурено сирене от краве мляко", "White cheese cow", "Sirene cow milk"])]
@@ -43,24 +43,39 @@ def test_edges(spark):
 
 
 def test_neighbours_reach_over_blocks(spark):
-    """Every pair within the window is compared, whatever the block."""
-    from marketgrain.llm.listings import WINDOW
+    """Every pair within the window is compared, whatever the block, but none of two groups or passes."""
 
-    class Near:
-        def __call__(self, a, b):
-            return abs(a.v - b.v) <= 1
+    class Number:
+        def __init__(self, body):
+            pass
 
-    df = spark.range(300).selectExpr("id as sig", "cast(id as int) as v")
-    got = {tuple(r) for r in sorted_neighbours(df, ["v"], ["v"], lambda a, b: abs(a.v - b.v) <= WINDOW, WINDOW, 16).collect()}
-    assert got == {(a, b) for a in range(300) for b in range(a + 1, min(300, a + 1 + WINDOW))}
+        def __call__(self, other):
+            return 1.0
+
+    df = spark.range(300).selectExpr("id as sig", "id div 200 as group", "0 as pass", "format_string('%03d', id) as `order`", "id as body")
+    rows = sorted_neighbours(df, Number, 6, 16).collect()
+    got = {(r["a"], r["b"]) for r in rows}
+    assert got == {(a, b) for a in range(300) for b in range(a + 1, min(300, a + 7)) if a // 200 == b // 200} and len(rows) == len(got)
+    assert sorted_neighbours(df.limit(0), Number).collect() == []
 
 
 def test_pivot_clusters(spark):
     edges = [(1, 2), (2, 3), (1, 3), (10, 11), (11, 12), (20, 20)]
-    got = {r["sig"]: r["cluster"] for r in correlation_clusters(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["sig"]: r["cluster"] for r in pivot_clusters(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got) == {1, 2, 3, 10, 11, 12} and got[1] == got[2] == got[3]
     assert len({got[10], got[11], got[12]}) <= 2
-    assert correlation_clusters(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert pivot_clusters(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_correlation_clusters(spark):
+    """A long band of edges becomes one cluster; two cliques with one stray edge and many negative ones stay apart."""
+    band = [(i, i + d, 1, 0) for i in range(60) for d in (1, 2) if i + d < 60]
+    cliques = [(a, b, 1, 0) for base in (100, 110) for a, b in combinations(range(base, base + 4), 2)]
+    across = [(a, b, int((a, b) == (100, 110)), int((a, b) != (100, 110))) for a in range(100, 104) for b in range(110, 114)]
+    got = {r["sig"]: r["cluster"] for r in correlation_clusters(spark.createDataFrame([*band, *cliques, *across], "a long, b long, plus int, minus int")).collect()}
+    assert len({got[i] for i in range(60)}) == 1
+    assert len({got[i] for i in range(100, 104)}) == 1 and got[100] != got[110] and got[110] == got[113]
+    assert correlation_clusters(spark.createDataFrame([], "a long, b long, plus int, minus int")).collect() == []
 
 
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
@@ -78,10 +93,57 @@ def test_near_is_edit_distance(a, b):
 
 
 def test_reading():
-    a, b = read_name("само с карта Сирене бло саламурено козе „Gezaglik“ 0,5 кг НОВО!"), read_name("Goat white cheese GEZAGLIK 500 g")
-    assert (a.maker, a.food, a.variety) == (b.maker, b.food, b.variety) == ("gezaglik", "white_cheese", "goat")
-    assert latin("Фалерди") == "falerdi" and read_name(None).food == ""
-    assert soft_alignment(["kashkaval", "x"], ["kashkval", "x"]) == 0.875 and soft_alignment([], []) == 1.0
+    a, b = name_tokens("само с карта Сирене бло саламурено козе „Gezaglik“ 0,5 кг НОВО!")[1], name_tokens("Goat white cheese GEZAGLIK 500 g")[1]
+    assert a == b == ["=white_cheese", "=goat", "lgezaglik"]
+    assert latin("Фалерди") == "falerdi" and name_tokens(None) == name_tokens("") == ("", [])
+    assert name_tokens("Сладко от боровинки Дерони 360 г", NO_GLOSSARY)[1] == ["csladko", "cot", "cborovinki", "cderoni"]
+
+
+def test_alignment():
+    of = lambda *words: {w: (1 if w == "kashkval" else 5, {}) for w in words}
+    assert soft_alignment(of("kashkaval", "rekarna"), of("kashkval", "rekarna")) == 0.875
+    assert soft_alignment(of("kashkaval", "rekarna"), of("kashkavan", "rekarna")) == 0.0  # as frequent: two words
+    assert soft_alignment({}, {}) == 1.0 and soft_alignment({}, of("a")) == 0.0
+    assert soft_alignment(of("leshta", "red", "rekarna"), of("leshta", "green", "rekarna")) == 0.0  # they contradict
+    assert soft_alignment({"leshta": (3, {"lentils": 1.0}), "rekarna": (5, {})}, of("lentils", "rekarna")) == 1.0
+    assert Name([])(Name([])) == 1.0 and Name([{"w": "a", "n": 1, "meets": None}])(Name([])) is None
+
+
+# foods of no list: two ways to write each, in either alphabet, with invented words
+ODD_FOODS = [("slad borov", ["Сладко боровинка", "Blueberry jam"]), ("slad kays", ["Сладко кайсия", "Apricot jam"]), ("lyut", ["Лютеница фина", "Smooth lyutenitsa"]), ("hum", ["Хумус класик", "Hummus classic"]), ("hum2", ["Хумус чушка", "Hummus paprika"]), ("chips", ["Чипс морска", "Crisps sea"]), ("tar", ["Тархана домашна", "Trahana homemade"]), ("buk", ["Булгур едър", "Bulgur big"])]
+
+
+def odd_catalogue(n=2500, seed=9):
+    r = random.Random(seed)
+    latin_makers = sorted({"".join(r.choice("bdgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(50)})
+    makers = [(m.translate(str.maketrans("abdegiklmnoprstuvz", "абдегиклмнопрстувз")).title(), m.title()) for m in latin_makers]
+    rows, truth = [], {}
+    for i in range(n):
+        m, f, size = r.randrange(len(makers)), r.randrange(len(ODD_FOODS)), r.choice(["360 г", "500 g", "200 г", "1 kg", "250 г", "750 g"])
+        name = [r.choice(makers[m]), r.choice(ODD_FOODS[f][1]), size]
+        r.shuffle(name)
+        rows.append((i, f"s{i}", " ".join(name), None))
+        truth[f"s{i}"] = (m, f, size.split()[0])
+    return rows, truth
+
+
+def test_foods_of_no_list(spark):
+    """Without a glossary, and with one that knows none of these foods, counterparts are learnt from the listings."""
+    rows, truth = odd_catalogue()
+    want = {(a, b) for a, b in combinations(sorted(truth), 2) if truth[a] == truth[b]}
+    got = {(r["id_a"], r["id_b"]) for r in same_product_pairs(product_groups(spark.createDataFrame(rows, SCHEMA), glossary=NO_GLOSSARY)).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    got = {(r["id_a"], r["id_b"]) for r in same_product_pairs(product_groups(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_window_reaches_nearly_all(spark):
+    """Alike pairs found within the window against those found by comparing all forms of one content."""
+    rows, _ = catalogue(400, 6)
+    forms = prepared_forms(listing_records(spark.createDataFrame(rows, SCHEMA)))
+    alike = lambda w: {(r["a"], r["b"]) for r in compared_forms(forms, w).where("score >= 0.65").collect()}
+    everything, windowed = alike(100000), alike(24)
+    assert windowed <= everything and len(windowed) >= 0.99 * len(everything) > 0
 
 
 def test_slips_of_makers(spark):
@@ -105,15 +167,3 @@ def test_slips_far_apart_in_a_hot_maker(spark):
             rows.append((2 * i + k, f"s{i}-{k}", " ".join(["Velikomakerski", *x, "400 g"]), None))
     got = {x["id"]: x["product"] for x in product_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[f"s{i}-0"] == got[f"s{i}-1"] for i in range(60)) and len(set(got.values())) == 60
-
-
-def test_aligned_pairs_are_all(spark):
-    from marketgrain.llm.listings import aligned_pairs
-
-    r = random.Random(8)
-    pool = ["kashkaval", "kashkval", "kashkavak", "mlyako", "mlyaka", "ovche", "ovce", "x", "y", "z"]
-    rests = sorted({" ".join(sorted(r.choice(pool) for _ in range(r.randrange(0, 7)))) for _ in range(150)})
-    rows = [(i, "m" if i % 3 else "n", x) for i, x in enumerate(rests)]
-    got = {tuple(x) for x in aligned_pairs(spark.createDataFrame(rows, "sig long, maker string, rest string"), ["maker"]).collect()}
-    alike = lambda x, y: x and y and max(soft_alignment(x.split(), y.split()), soft_alignment(y.split(), x.split())) >= 0.8
-    assert got == {(a[0], b[0]) for a, b in combinations(rows, 2) if a[1] == b[1] and alike(a[2], b[2])} and got
