@@ -114,8 +114,8 @@ def counterparts(forms: DataFrame) -> DataFrame:
     """(``w``, ``meets`` array of (``w``, ``weight`` up to 1)): words of the other alphabet that stand where ``w`` stands.
 
     ``forms`` has ``form``, ``content`` and ``tokens`` (w, sign, n, both). The rarest word that is written in both alphabets ties
-    forms of one content together; within such a block each word of one side is linked to the word of the other side it
-    most often shares blocks with (Dice), and the links, counted over all blocks, are the weights. A block counts as two
+    forms of one content together; within such a block each word of one side is linked to the word of the other side with
+    which it is most correlated over all blocks, and the links, counted over all blocks (Dice), are the weights. A block counts as two
     sets of words, never as pairs of its listings; words met only once in a block of two sides are no evidence.
     """
     tokens = forms.select("form", "content", F.filter("tokens", lambda t: ~t["w"].startswith("=")).alias("t"))
@@ -137,7 +137,10 @@ def counterparts(forms: DataFrame) -> DataFrame:
     right = bags.where("side = 'c'").select(block, F.col("w").alias("c"), F.col("b").alias("cb"))
     met = cut(left.join(right, "block"))
     dice = lambda count: 2 * count / (F.col("lb") + F.col("cb"))
-    weights = met.groupBy("l", "c", "lb", "cb").agg(F.count("*").alias("k")).where(F.col("k") >= MEETINGS).select("l", "c", dice(F.col("k")).alias("d"))
+    n = F.lit(float(sides.count()))
+    more = n * F.col("k") - F.col("lb") * F.col("cb")  # than by chance; the correlation of both words over the blocks
+    phi = more / F.sqrt(F.col("lb") * F.col("cb") * F.greatest(n - F.col("lb"), F.lit(1.0)) * F.greatest(n - F.col("cb"), F.lit(1.0)))
+    weights = met.groupBy("l", "c", "lb", "cb").agg(F.count("*").alias("k")).where((F.col("k") >= MEETINGS) & (more > 0)).select("l", "c", phi.alias("d"))
     best = met.join(weights, ["l", "c"]).withColumns({"ld": F.max("d").over(Window.partitionBy("block", "l")), "cd": F.max("d").over(Window.partitionBy("block", "c"))})
     links = ((F.col("d") >= F.col("ld")).cast("int") + (F.col("d") >= F.col("cd")).cast("int")) / 2
     linked = cut(best.groupBy("l", "c", "lb", "cb").agg(F.sum(links).alias("k")).where("k > 0").select("l", "c", dice(F.col("k")).alias("d")))

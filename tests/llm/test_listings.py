@@ -113,17 +113,19 @@ def test_alignment():
 ODD_FOODS = [("slad borov", ["Сладко боровинка", "Blueberry jam"]), ("slad kays", ["Сладко кайсия", "Apricot jam"]), ("lyut", ["Лютеница фина", "Smooth lyutenitsa"]), ("hum", ["Хумус класик", "Hummus classic"]), ("hum2", ["Хумус чушка", "Hummus paprika"]), ("chips", ["Чипс морска", "Crisps sea"]), ("tar", ["Тархана домашна", "Trahana homemade"]), ("buk", ["Булгур едър", "Bulgur big"])]
 
 
-def odd_catalogue(n=2500, seed=9):
+def odd_catalogue(products=400, seed=9):
+    """Products of 50 makers, each sold in a few listings in either alphabet."""
     r = random.Random(seed)
     latin_makers = sorted({"".join(r.choice("bdgklmnprstvz") + r.choice("aeiou") for _ in range(4)) for _ in range(50)})
     makers = [(m.translate(str.maketrans("abdegiklmnoprstuvz", "абдегиклмнопрстувз")).title(), m.title()) for m in latin_makers]
     rows, truth = [], {}
-    for i in range(n):
-        m, f, size = r.randrange(len(makers)), r.randrange(len(ODD_FOODS)), r.choice(["360 г", "500 g", "200 г", "1 kg", "250 г", "750 g"])
-        name = [r.choice(makers[m]), r.choice(ODD_FOODS[f][1]), size]
-        r.shuffle(name)
-        rows.append((i, f"s{i}", " ".join(name), None))
-        truth[f"s{i}"] = (m, f, size.split()[0])
+    for m, f, size in {(r.randrange(len(makers)), r.randrange(len(ODD_FOODS)), r.choice(["360 г", "500 g", "200 г", "1 kg", "250 г", "750 g"])) for _ in range(products)}:
+        for _ in range(r.randint(1, 6)):
+            name = [r.choice(makers[m]), r.choice(ODD_FOODS[f][1]), size]
+            r.shuffle(name)
+            i = len(rows)
+            rows.append((i, f"s{i}", " ".join(name), None))
+            truth[f"s{i}"] = (m, f, size)
     return rows, truth
 
 
