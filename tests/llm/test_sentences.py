@@ -70,6 +70,39 @@ def test_spans_cover_all_but_blanks(text):
     assert not text[at:].strip()
 
 
+LONG = "very long words, and more. " * 30
+SCRIPTS = ["ខ្ញុំ។|អ្នក។", "Ողջույն։|Ինչպես։", "བོད།|ཡིག།", "ᠮᠣᠩ᠃|ᠭᠣᠯ᠃", "ꦱ꧉|ꦏ꧉", "A﹒B﹗|C", "ሰላም።|እንዴት፧|ደህና።", "آج۔|کل؟|ہاں۔"]
+
+
+@pytest.mark.parametrize("marked", SCRIPTS)
+def test_terminators_of_all_scripts(marked):
+    assert split(marked.replace("|", " ")) == marked.split("|")
+
+
+@pytest.mark.parametrize(("lang", "marked"), [
+    ("en", "We sold part z.|It was late."), (None, "He bought vitamin d.|Then he left."), ("EN", "The plant is on main st.|The other is not."),
+    ("en-GB", "We drove to St. Elm Road.|Yes."), ("de", "Man nimmt z. B. Reis.|Gut."), ("xx", "Das ist z. B. Reis für die Oma.|Gut."), (None, "Цена 9 лв.|Да."),
+])
+def test_abbreviations_by_language(lang, marked):
+    text = marked.replace("|", " ")
+    assert [text[a:b] for a, b in sentence_spans(text, lang)] == marked.split("|")
+
+
+def test_quotations_of_any_length():
+    assert split(f'He said "{LONG}so it is." Then he left. It rained.') == [f'He said "{LONG}so it is."', "Then he left.", "It rained."]
+    assert split(f"He said „{LONG}so it is. Then he left.")[0].startswith("He said „very")  # never closed: no quotation
+
+
+def test_batches_do_not_matter(spark):
+    """A text gives the same sentences whatever stands before and after it in a batch."""
+    texts = [m.replace("|", " ") for m in [*MARKED, *TIGHT, *SCRIPTS]] + ["abc", ".", "Вит", "D. E", "9.", "9"]
+    rows = [(i, t, None) for i, t in enumerate(texts * 3)]
+    got = {}
+    for r in sentences(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)).collect():
+        got.setdefault(r["doc_id"], []).append((r["char_from"], r["char_until"]))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sentence_spans(t) for i, t, _ in rows if sentence_spans(t)}
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "A. b C? D"), (2, None), (3, ""), (4, " \n "), (5, "x" * 200000 + ". Y"), (1, "A. b C? D")], "doc_id long, text string")
     got = sorted(tuple(r) for r in sentences(df.withColumnRenamed("text", "text")).collect())
