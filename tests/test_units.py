@@ -67,8 +67,22 @@ def test_model_converts_and_reports(spark):
     assert found == {(i, "weight_grams") for i, t in truth.items() if t[2] and t[0] != "g"} | {(i, "price_per_kg") for i, t in truth.items() if t[2] and t[3] != "per_kg"}
 
 
+def test_text_hidden_units_are_told_and_routed(spark):
+    """Held-out quality: texts hidden, the model's conversions are right, its confidence holds, doubt goes to review."""
+    rows, truth = _rows(3000)
+    got = {r["ord"]: r for r in with_common_units(spark.createDataFrame(rows, SCHEMA)).collect()}
+    silent = [i for i, t in truth.items() if not t[2]]
+    right = [got[i]["weight_unit"] == truth[i][0] for i in silent]
+    assert abs(sum(right) / len(right) - sum(got[i]["weight_confidence"] for i in silent) / len(silent)) < 0.05
+    assert all((got[i]["route"] == "done") == (got[i]["content"] is not None) for i in got)
+    assert all(got[i]["route"] == ("done" if got[i]["weight_confidence"] >= 0.9 else "review") for i in silent if got[i]["weight_unit"] != "other")
+    strict = with_common_units(spark.createDataFrame(rows, SCHEMA), confident=1.01).where("content IS NULL").select("route", "unit_price_from").distinct().collect()
+    assert [tuple(r) for r in strict] == [("review", None)]
+
+
 def test_nulls_empty_and_unlabelled(spark):
     assert with_common_units(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, None, None, None, None, None, None, None, None, None, None, None), (2, "a", "s", "", "e", "c", 2.0, "", 0, 0.0, "s", "t"), (2, "a", "s", "", "e", "c", 2.0, "", 0, 0.0, "s", "t"), (3, "a", "s", "x" * 100000, "e", "c", -1.0, "?", -5, -2.0, "s", "t")]
     got = with_common_units(spark.createDataFrame(rows, SCHEMA + "")).withColumn("extra", F.lit(1)).collect()
     assert len(got) == 4 and all(r["content"] is None and not r["weight_differs"] for r in got)
+    assert sorted((r["ord"], r["route"]) for r in got) == [(1, "nothing"), (2, "review"), (2, "review"), (3, "review")]
