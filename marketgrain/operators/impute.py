@@ -27,15 +27,19 @@ def _tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(fold_lookalikes(plain(name)), _TOKENS), lambda t: F.length(t) >= 3))
 
 
-def head_vocabulary(df: DataFrame, text: str, group: str, size: int = 400, pure: float = 0.8, least: int = 3) -> list[tuple[str, int]]:
-    """The words of ``text`` that tell the kind of item: at least ``pure`` of the texts with the word share one ``group``.
+def head_vocabulary(df: DataFrame, text: str, group: str, share: float = 2e-5, pure: float = 0.8, least: int = 3) -> list[tuple[str, int]]:
+    """The words of ``text`` that tell the kind of item, most frequent first, with their number of distinct texts.
 
-    Of these the ``size`` most frequent, with their number of distinct texts. Counts cover all distinct texts.
+    At least ``pure`` of the texts with the word share one ``group``, and at least ``share`` of all uses of words (and ``least`` texts)
+    are of it; rarer words are no kinds. So there are at most 1 / ``share`` words, whatever the size of the table. Counts
+    cover all distinct texts.
     """
     texts = df.where(F.col(text).isNotNull() & F.col(group).isNotNull()).groupBy(text, group).count().select(text, group)
     by = texts.select(F.explode(_tokens(F.col(text))).alias("t"), F.col(group).alias("g")).groupBy("t", "g").agg(F.count("*").alias("n"))
-    words = by.groupBy("t").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where((F.col("n") >= least) & (F.col("most") >= pure * F.col("n")))
-    return [(r["t"], r["n"]) for r in words.orderBy(F.desc("n"), "t").limit(size).select("t", "n").collect()]  # bounded by size
+    words = cut(by.groupBy("t").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
+    enough = max(float(least), share * (words.agg(F.sum("n").alias("n")).first()["n"] or 0))
+    told = words.where((F.col("n") >= enough) & (F.col("most") >= pure * F.col("n")))
+    return [(r["t"], r["n"]) for r in told.orderBy(F.desc("n"), "t").select("t", "n").collect()]  # at most 1 / share
 
 
 def with_head(df: DataFrame, text: str, vocabulary: list[tuple[str, int]], out: str = "_head") -> DataFrame:
@@ -90,8 +94,8 @@ def with_true_macros(headed: DataFrame, out: str = "_true", least: int = 5) -> D
     """``headed`` (with ``_head``) with a flag: are the four values true ones?
 
     Four zeros are true only for kinds of item (by head word, at least ``least`` rows with values) that mostly have
-    zeros, as water does; elsewhere they stand for missing values. The head words are at most the vocabulary's size,
-    so the table of kinds is bounded and may be broadcast.
+    zeros, as water does; elsewhere they stand for missing values. There are at most as many
+    kinds as words in the vocabulary (50 000 by its share), which bounds the table that is broadcast.
     """
     kinds = headed.where(macros_given() & F.col("_head").isNotNull()).groupBy("_head").agg(F.count("*").alias("_n"), F.sum(macros_zero().cast("int")).alias("_z"))
     zero = kinds.where((F.col("_n") >= least) & (F.col("_z") >= 0.5 * F.col("_n"))).select("_head", F.lit(True).alias("_zero_kind"))
@@ -130,35 +134,35 @@ class Prototypes:
 def fit_prototypes(rows: DataFrame, numeric: list[str], categorical: list[str], seeds: list[str], gamma: list[float], k: int = 96, rounds: int = 3) -> Prototypes | None:
     """K-prototypes over all rows of ``rows``; None for an empty table.
 
-    The seeds are the ``k`` most frequent combinations of the ``seeds`` columns. A round assigns every row and gathers,
-    per prototype, sums of the numbers and counts of the categories: partitions send sums only, and what comes to the
-    driver is one row per prototype. ``gamma`` is the weight of a differing category, feature by feature.
+    The seeds are the ``k`` most frequent combinations of the ``seeds`` columns. A round is one pass: every row is assigned
+    and partitions send, per prototype, sums of the numbers and counts of the categories; what comes to the driver is a
+    row per prototype and feature. Rounds end when no prototype changes, at the latest after ``rounds``. ``gamma`` is the
+    weight of a differing category, feature by feature.
     """
-    sums = [F.avg(c).alias(f"n{j}") for j, c in enumerate(numeric)]
-
-    def modes(frame: DataFrame, key: str) -> dict[int, list[str | None]]:
-        long = frame.select(key, F.posexplode(F.array(*[F.col(c) for c in categorical])).alias("j", "v")).where("v IS NOT NULL")
-        counts = long.groupBy(key, "j", "v").agg(F.count("*").alias("n"))
-        best = counts.groupBy(key, "j").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
-        found: dict[int, list[str | None]] = {}
-        for r in best.collect():  # k x number of features
-            found.setdefault(r[key], [None] * len(categorical))[r["j"]] = r["v"]
-        return found
-
-    top = rows.groupBy(*seeds).agg(F.count("*").alias("_n"), *sums).orderBy(F.desc("_n"), *seeds).limit(k).collect()  # k rows
+    c = len(categorical)
+    top = rows.groupBy(*seeds).agg(F.count("*").alias("_n"), *[F.avg(x).alias(f"n{j}") for j, x in enumerate(numeric)]).orderBy(F.desc("_n"), *seeds).limit(k).collect()  # k rows
     if not top:
         return None
     nan = lambda v: np.nan if v is None else float(v)
-    prototypes = Prototypes(np.array([[nan(r[f"n{j}"]) for j in range(len(numeric))] for r in top]), [[r[c] if c in seeds else None for c in categorical] for r in top], gamma)
+    prototypes = Prototypes(np.array([[nan(r[f"n{j}"]) for j in range(len(numeric))] for r in top]), [[r[x] if x in seeds else None for x in categorical] for r in top], gamma)
+    entries = [F.struct(F.lit(j).alias("j"), F.col(x).cast("string").alias("v"), F.lit(None).cast("double").alias("x")) for j, x in enumerate(categorical)]
+    entries += [F.struct(F.lit(c + j).alias("j"), F.lit(None).cast("string").alias("v"), F.col(x).cast("double").alias("x")) for j, x in enumerate(numeric)]
     for _ in range(rounds):
-        assigned = assign(rows, numeric, categorical, prototypes)
-        found = {r["_cluster"]: r for r in assigned.groupBy("_cluster").agg(*sums).collect()}  # k rows
-        kinds = modes(assigned, "_cluster")
-        prototypes = Prototypes(
-            np.array([[nan(found[i][f"n{j}"]) if i in found else prototypes.centres[i, j] for j in range(len(numeric))] for i in range(len(prototypes.centres))]),
-            [kinds.get(i, prototypes.modes[i]) for i in range(len(prototypes.modes))],
-            gamma,
-        )
+        long = assign(rows, numeric, categorical, prototypes).select("_cluster", F.explode(F.array(*entries)).alias("e")).where("e.v IS NOT NULL OR e.x IS NOT NULL")
+        counts = long.groupBy("_cluster", "e.j", "e.v").agg(F.count("*").alias("n"), F.avg("e.x").alias("x"))
+        found = counts.groupBy("_cluster", "j").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"), F.max("x").alias("x")).collect()  # k x number of features
+        centres, modes = prototypes.centres.copy(), [list(m) for m in prototypes.modes]
+        for i in {r["_cluster"] for r in found}:
+            centres[i], modes[i] = np.nan, [None] * c
+        for r in found:
+            if r["j"] < c:
+                modes[r["_cluster"]][r["j"]] = r["v"]
+            else:
+                centres[r["_cluster"], r["j"] - c] = nan(r["x"])
+        still = modes == prototypes.modes and np.allclose(centres, prototypes.centres, equal_nan=True)
+        prototypes = Prototypes(centres, modes, gamma)
+        if still:
+            break
     return prototypes
 
 
@@ -181,9 +185,11 @@ def fill_offers(offers: DataFrame, k: int = 96, rounds: int = 3) -> DataFrame:
     """Missing ``category``, ``macros`` and ``old_price`` of offers with the values that fill them.
 
     One row per missing value: ``ord``, ``field``, ``filled`` (text: category; kcal/p/f/c; price) and ``method``
-    (``cluster``, ``parent``, ``all`` or ``none`` where nothing is known that could fill it). A value is missing when it
-    is null, a stand-in, for macros not four true values of a food row, and for old prices of a discounted row when the
-    discount does not lead from it to the new price. Ties of modes go to the first value in text order. Rows repeated
+    (``cluster``, ``parent``, ``all``, for prices ``discount``, or ``none`` where nothing is known that could fill it). A value is
+    missing when it is null, a stand-in, for macros not four true values of a food row, and for old prices of a discounted
+    row when the discount does not lead from it to the new price. Medians are approximate (``percentile_approx`` of accuracy
+    1000). An old price is the new one times the median ratio of discounted rows with the same discount in the cluster, the parent
+    group or all, held within what the discount leads from; where no row has that discount it follows from it alone. Ties of modes go to the first value in text order. Rows repeated
     in full give the same values; an empty table gives no rows; columns beginning with an underscore are the operator's.
     """
     words = head_vocabulary(offers, "name", "emoji")
@@ -223,16 +229,22 @@ def fill_offers(offers: DataFrame, k: int = 96, rounds: int = 3) -> DataFrame:
         for i, keys in enumerate(levels):
             table = stats(keys, f"_v{i}") if keys != ["_all"] else stats([], "_v" + str(i)).withColumn("_all", F.lit(1))
             part = part.join(table, keys, "left")
-        found = F.coalesce(*[F.col(f"_v{i}") for i in range(len(levels))])
-        method = F.when(F.col("_v0").isNotNull(), "cluster").when(F.col("_v1").isNotNull(), "parent").when(F.col("_v2").isNotNull(), "all").otherwise("none")
-        return part.select("ord", F.lit(field).alias("field"), value(found).alias("filled"), method.alias("method"))
+        found = value(F.coalesce(*[F.col(f"_v{i}") for i in range(len(levels))]))
+        method = F.when(F.col("_v0").isNotNull(), "cluster").when(F.col("_v1").isNotNull(), "parent").when(F.col("_v2").isNotNull(), "all").when(F.col("filled").isNotNull(), "discount").otherwise("none")
+        return part.select("*", found.alias("filled")).select("ord", F.lit(field).alias("field"), "filled", method.alias("method"))
 
     same = lambda c: c.cast("string")
-    price = lambda c: F.format_string("%.2f", F.round(c * F.col("new_price"), 2))
+
+    def price(ratio: Column) -> Column:
+        left = F.when((F.col("discount_pct") > 0) & (F.col("discount_pct") < 100) & (F.col("new_price") > 0), 1 - F.col("discount_pct") / 100)
+        low, high = (F.ceil((F.col("new_price") - 0.01) / left * 100) / 100), (F.floor((F.col("new_price") + 0.01) / left * 100) / 100)
+        wanted = F.round(F.coalesce(ratio * F.col("new_price"), F.col("new_price") / left), 2)
+        return F.when(left.isNotNull(), F.format_string("%.2f", F.least(F.greatest(wanted, low), high)))
+
     parts = [
         filled("_no_category", "category", category_stats, [["_cluster"], ["_parent"], ["_all"]], same),
         filled("_no_macros", "macros", macro_stats, [["_cluster"], ["_parent"], ["_all"]], same),
-        filled("_no_old", "old_price", price_stats, [["_cluster", "discount_pct"], ["discount_pct"], ["_all"]], price),
+        filled("_no_old", "old_price", price_stats, [["_cluster", "discount_pct"], ["_parent", "discount_pct"], ["discount_pct"]], price),
     ]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out

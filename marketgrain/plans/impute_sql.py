@@ -14,7 +14,7 @@ _WORDS = rf"string_split_regex({folded('name')}, '[^\p{{L}}]+')"
 JUDGED = f"""texts AS (SELECT DISTINCT name, emoji FROM offers WHERE name IS NOT NULL AND emoji IS NOT NULL),
 tok AS (SELECT DISTINCT name, emoji, unnest({_WORDS}) AS t FROM texts),
 cnt AS (SELECT t, emoji, count(*) AS k FROM tok WHERE length(t) >= 3 GROUP BY t, emoji),
-voc AS (SELECT t, row_number() OVER (ORDER BY n DESC, t) AS r FROM (SELECT t, sum(k) AS n, max(k) AS m FROM cnt GROUP BY t) WHERE n >= 3 AND m >= 0.8 * n QUALIFY r <= 400),
+voc AS (SELECT t, row_number() OVER (ORDER BY n DESC, t) AS r FROM (SELECT t, sum(k) AS n, max(k) AS m FROM cnt GROUP BY t) WHERE n >= 3 AND n >= 2e-5 * (SELECT sum(k) FROM cnt) AND m >= 0.8 * n),
 nam AS (SELECT DISTINCT name, unnest({_WORDS}) AS t FROM offers WHERE name IS NOT NULL),
 heads AS (SELECT name, min(r) AS head FROM nam JOIN voc ON nam.t = voc.t GROUP BY name),
 o AS (SELECT offers.*, head FROM offers LEFT JOIN heads ON offers.name = heads.name),

@@ -100,3 +100,31 @@ def test_columns_of_other_names(spark):
     rows, _ = offers(50)
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"field": F.lit("x"), "method": F.lit(1), "n": F.lit(2)})
     assert set(fill_offers(df, k=4).columns) == {"ord", "field", "filled", "method"}
+
+
+def test_vocabulary_is_bounded_by_share_not_by_number(spark):
+    """More than 400 telling words all count; a share bounds their number whatever the size."""
+    r = random.Random(1)
+    words = ["".join(r.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(900)]
+    rows = [(f"{w} марка{k}", f"e{i}") for i, w in enumerate(words) for k in range(4)]
+    df = spark.createDataFrame(rows, "name string, emoji string")
+    assert len(head_vocabulary(df, "name", "emoji")) == len(set(words)) > 400
+    assert len(head_vocabulary(df, "name", "emoji", share=1 / 100)) <= 100
+
+
+def test_old_prices_lead_to_the_new_ones(spark):
+    """Whatever ratio the cluster has, the filled price is one from which the discount leads; a discount seen nowhere too."""
+    r = random.Random(7)
+    rows = []
+    for i in range(400):
+        d = r.choice([5, 10, 33, 50]) if i else 77
+        new = round(r.uniform(0.3, 40), 2)
+        old = round(new / (1 - d / 100), 2) if i % 3 else None
+        rows.append((i, f"x{i}", "S", "сирене краве", "c", "dairy", new, old, d, 500, 6, True, True, False, False, False, False, (200.0, 10.0, 15.0, 1.0)))
+    rows.append((900, "x", "S", "сирене", "c", "dairy", 5.0, None, 100, 500, 6, True, True, False, False, False, False, (200.0, 10.0, 15.0, 1.0)))
+    got = [x for x in fill_offers(spark.createDataFrame(rows, SCHEMA), k=4).collect() if x["field"] == "old_price"]
+    price = {x[0]: (x[6], x[8]) for x in rows}
+    assert len(got) == 135 and {x["method"] for x in got} == {"cluster", "discount", "none"}
+    for x in got:
+        new, d = price[x["ord"]]
+        assert x["filled"] is None if d == 100 else abs(float(x["filled"]) * (1 - d / 100) - new) <= 0.0101
