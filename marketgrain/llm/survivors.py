@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketgrain.functions.text import plain
-from marketgrain.operators.impute import blank_value, head_vocabulary, with_head, with_true_macros
+from marketgrain.operators.impute import head_vocabulary, with_head, with_true_macros
+from marketgrain.operators.joins import small
 from marketgrain.session import cut
 
 KEYS = ("id", "valid_from", "valid_until")
-#: A picture used for more listings than this, or for several categories, shows no particular item.
-MOST_LISTINGS = 24
+#: A picture used for several kinds of item, or in one store for more listings than this on average, shows no particular
+#: item: how many listings of an item one store has does not depend on the size of the table.
+PER_STORE = 3
+#: Most stand-ins that are broadcast; more are joined by shuffle.
+MOST_STAND_INS = 20000
 # Sources from the most trusted one on.
 TRUST = ("catalog", "assortment", "promo", "pdf")
 # Addresses that say of themselves that they show nothing.
@@ -27,20 +31,22 @@ def trust(source_type: Column) -> Column:
 
 
 def stand_in_pictures(offers: DataFrame) -> DataFrame:
-    """Addresses (``_stand_in``) used for many different items: by number of listings, or by categories they show.
+    """Addresses (``_stand_in``) used for many different items: of several kinds (``emoji``), or for many listings a store.
 
     All rows count; the aggregations combine on the map side, so an address of a third of all rows is no hot task.
     """
-    uses = offers.where(F.col("image").isNotNull() & (F.trim("image") != "")).select(F.trim("image").alias("_stand_in"), "id", F.when(~blank_value(F.col("category")), plain(F.col("category"))).alias("c"))
-    by = uses.groupBy("_stand_in", "id").agg(F.max("c").alias("c")).groupBy("_stand_in").agg(F.count("*").alias("n"), F.count_distinct("c").alias("kinds"))
-    return by.where((F.col("n") > MOST_LISTINGS) | (F.col("kinds") >= 3)).select("_stand_in")
+    uses = offers.where(F.col("image").isNotNull() & (F.trim("image") != "")).select(F.trim("image").alias("_stand_in"), "id", plain(F.col("store")).alias("s"), "emoji")
+    by = uses.groupBy("_stand_in", "s", "id").agg(F.min("emoji").alias("a"), F.max("emoji").alias("b")).groupBy("_stand_in", "s").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
+    by = by.groupBy("_stand_in").agg(F.sum("n").alias("n"), F.count("*").alias("stores"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return by.where((F.col("a") < F.col("b")) | (F.col("n") > PER_STORE * F.col("stores"))).select("_stand_in")
 
 
 def judged(offers: DataFrame) -> DataFrame:
     """``offers`` with ``_picture`` (the image shows the item) and ``_true`` (macros are complete)."""
     headed = with_head(offers, "name", head_vocabulary(offers, "name", "emoji")).drop("name", "emoji")
     rows = with_true_macros(cut(headed))  # names are read once, the rows are used several times
-    rows = rows.join(stand_in_pictures(offers).withColumn("_many", F.lit(True)), F.trim("image") == F.col("_stand_in"), "left").drop("_stand_in", "_head")
+    many = small(cut(stand_in_pictures(offers).withColumn("_many", F.lit(True))), MOST_STAND_INS)
+    rows = rows.join(many, F.trim("image") == F.col("_stand_in"), "left").drop("_stand_in", "_head")
     given = F.col("image").isNotNull() & (F.trim("image") != "") & ~F.col("image").rlike(NO_PICTURE)
     return rows.withColumn("_picture", F.coalesce(given & ~F.coalesce(F.col("_many"), F.lit(False)), F.lit(False))).drop("_many")
 
@@ -55,7 +61,7 @@ def survivors(offers: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     no record has both). Groups of a single row stay as they are but for stand-ins. An empty table gives no rows.
     """
     own = ["ord", "source_type", "image", "macros", "generated_at"]
-    rows = judged(offers.select(*dict.fromkeys([*keys, *own, "name", "emoji", "category"]))).drop("category")
+    rows = judged(offers.select(*dict.fromkeys([*keys, *own, "name", "emoji", "store"]))).drop("store")
     full = F.col("_picture").cast("int") + F.col("_true").cast("int") + F.coalesce(F.trim("source_type") != "", F.lit(False)).cast("int")
     rows = rows.withColumns({"_full": full, "_trust": trust(F.col("source_type"))})
     w = Window.partitionBy(*keys).orderBy(F.desc("_full"), F.desc("_trust"), F.desc_nulls_last("generated_at"), F.asc_nulls_last("ord"))

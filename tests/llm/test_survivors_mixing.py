@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketgrain.llm.mixing import mix, schedule_time, source_key, token_counts
-from marketgrain.llm.survivors import MOST_LISTINGS, survivors
+from marketgrain.llm.survivors import PER_STORE, survivors
 
 SCHEMA = "ord long, id string, store string, name string, emoji string, category string, valid_from date, valid_until date, source_type string, image string, macros struct<kcal: double, p: double, f: double, c: double>, generated_at timestamp_ntz"
 
@@ -50,8 +50,31 @@ def test_survivor_edges(spark):
     blank = (1, None, None, None, None, None, None, None, None, None, None, None)
     got = survivors(spark.createDataFrame([blank, (2, *blank[1:])], SCHEMA)).collect()
     assert len(got) == 1 and got[0]["rows"] == 2 and not got[0]["put_together"]
-    many = [(i, f"i{i}", "s", "n", "e", "c", None, None, None, "https://x/one.webp", None, None) for i in range(MOST_LISTINGS + 1)]
+    many = [(i, f"i{i}", "s", "n", "e", "c", None, None, None, "https://x/one.webp", None, None) for i in range(PER_STORE + 1)]
     assert all(r["image"] is None for r in survivors(spark.createDataFrame(many, SCHEMA)).collect())
+    few = [(i, f"i{i}", f"s{i}", "n", "e" if i or same else "f", "c", None, None, None, "https://x/one.webp", None, None) for same in (True, False) for i in range(40) if same or i < 2]
+    assert all(r["image"] for r in survivors(spark.createDataFrame(few[:40], SCHEMA)).collect())  # one item in many stores
+    assert not any(r["image"] for r in survivors(spark.createDataFrame(few[40:], SCHEMA)).collect())  # two kinds of item
+
+
+def test_values_field_by_field(spark):
+    """Each field comes from the best record that has a true value of it: completeness, trust, recency, smallest ord."""
+    rows = offers(11)
+    got = {(g["id"], g["valid_from"], g["valid_until"]): g for g in survivors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    picture = lambda x: bool(x[9]) and "placeholder" not in x[9] and "shared" not in x[9]
+    macros = lambda x: x[10] is not None and all(v is not None and v >= 0 for v in x[10]) and any(x[10])
+    trust = {"catalog": 4, "promo": 2, None: 0}
+    full = lambda x: picture(x) + macros(x) + bool(x[8])
+    order = lambda x: (full(x), trust[x[8]], x[11], -x[0])
+    groups: dict = {}
+    for x in rows:
+        groups.setdefault((x[1], x[6], x[7]), []).append(x)
+    for k, members in groups.items():
+        image = max(filter(picture, members), key=order, default=None)
+        food = max(filter(macros, members), key=order, default=None)
+        kind = max((x for x in members if x[8]), key=lambda x: (trust[x[8]], full(x), x[11], -x[0]), default=None)
+        assert got[k]["image"] == (image and image[9]) and got[k]["source_type"] == (kind and kind[8])
+        assert (got[k]["macros"] and tuple(got[k]["macros"])) == (food and food[10])
 
 
 def corpus(spark, n=900):
