@@ -95,7 +95,7 @@ def calibration_steps(bins: list[tuple[float, int, int]]) -> list[tuple[float, f
     return [(b, right / n) for b, n, right in pools] or [(1.0, 0.0)]
 
 
-def fit_units(rows: DataFrame, label: str, features: list[str], texts: list[str], classes: list[str], key: str = "ord", bound: int = 20000, trees: int = 24, depth: int = 9) -> UnitModel | None:
+def fit_units(rows: DataFrame, label: str, features: list[str], texts: list[str], classes: list[str], key: str = "ord", bound: int = 20000, trees: int = 16, depth: int = 9) -> UnitModel | None:
     """Fit the forest on at most ``bound`` labelled rows (the ones of lowest hash of ``key``), a quarter of them held
     out for calibration; in half of them the features ``texts``, which come from the text, are hidden. Returns None where
     no row has a label: then nothing can be learned and all goes to review.
@@ -111,7 +111,7 @@ def fit_units(rows: DataFrame, label: str, features: list[str], texts: list[str]
     train = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="keep").transform(sample.where(~held))
     if train.isEmpty():
         return None
-    forest = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, maxDepth=depth, maxBins=64, seed=7, subsamplingRate=0.8).fit(train)
+    forest = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, maxDepth=depth, seed=7, subsamplingRate=0.8).fit(train)
     model = UnitModel(forest, features, classes, {})
     judged = model.forest.transform(VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="keep").transform(sample.where(held))).select(
         "_told", F.least(F.floor(F.array_max(vector_to_array("probability")) * 20), F.lit(19)).cast("int").alias("bin"), (F.col("prediction") == F.col("_y")).cast("int").alias("right")
