@@ -21,7 +21,10 @@ from marketgrain.llm.glyphs import SHAPES, TOP, _of, _rows, ordinary, slices, ta
 
 #: Most test items that are sent to every executor (their grams are a few kilobytes an item).
 MOST_ITEMS = 20000
+#: Least width of a diagonal band, in letters.
 BAND = 48
+#: Longest q-grams of items in letters and in Han characters; shorter where a stretch that counts may have fewer letters.
+GRAM, HAN_GRAM = 6, 4
 _HAN = 1 << 20
 
 
@@ -74,7 +77,8 @@ def _grams(letters: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """The items' letters, words and q-grams; ``q`` is 4 for items in Han characters, else 6."""
+    """The items' letters, words and q-grams. An item's ``q`` is HAN_GRAM for Han characters, else GRAM, but no more than
+    the letters of its shortest stretch that counts, so that short items are found whole."""
 
     ids: list
     letters: list[np.ndarray]
@@ -82,6 +86,7 @@ class ItemIndex:
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by q: sorted grams, their ranges, items, places
     filters: dict[int, np.ndarray]
     least: np.ndarray  # grams that a band must hold
+    bands: np.ndarray  # width of the item's bands: letters that its changed words may shift what follows
 
     @staticmethod
     def of(ids: list, texts: list[str | None], part: float, budget: float) -> ItemIndex:
@@ -89,9 +94,10 @@ class ItemIndex:
         each = [letters[at[i] : at[i + 1]] for i in range(len(ids))]
         words = [word[at[i] : at[i + 1]] - (word[at[i]] if at[i] < at[i + 1] else 0) for i in range(len(ids))]
         han = [len(x) > 0 and _han(x).mean() > 0.5 for x in each]
+        size = [min(HAN_GRAM if h else GRAM, _shortest(w, part)) for h, w in zip(han, words, strict=True)]
         grams, filters = {}, {}
-        for q, pick in ((6, False), (4, True)):
-            parts = [(i, _grams(x, q)) for i, x in enumerate(each) if han[i] == pick]
+        for q in sorted({q for q in size if q}):
+            parts = [(i, _grams(x, q)) for i, x in enumerate(each) if size[i] == q]
             g = np.concatenate([x for _, x in parts] or [np.zeros(0, np.uint64)])
             item = np.concatenate([np.full(len(x), i) for i, x in parts] or [np.zeros(0, int)]).astype(np.int64)
             place = np.concatenate([np.arange(len(x)) for _, x in parts] or [np.zeros(0, int)])
@@ -104,12 +110,23 @@ class ItemIndex:
         # a stretch of m letters with e changed words keeps m - q + 1 - e * (letters of a word + q - 1) grams
         least = []
         for i, x in enumerate(each):
-            q = 4 if han[i] else 6
+            q = size[i]
             m = part * len(x)
-            size = len(x) / max(1, words[i][-1] + 1) if len(x) else 1
-            changed = budget * m / size
-            least.append(max(1.0, m - q + 1 - changed * (size + q - 1)))
-        return ItemIndex(list(ids), each, words, grams, filters, np.array(least))
+            each_word = len(x) / max(1, words[i][-1] + 1) if len(x) else 1
+            changed = budget * m / each_word
+            least.append(max(1.0, m - q + 1 - changed * (each_word + q - 1)))
+        bands = np.array([max(BAND, 2 * int(np.ceil(budget * part * len(x) / 2)) * 2) for x in each], np.int64)
+        return ItemIndex(list(ids), each, words, grams, filters, np.array(least), bands)
+
+
+def _shortest(words: np.ndarray, part: float) -> int:
+    """Letters of the shortest run of ``part`` of an item's words, given the number of each letter's word."""
+    if not len(words):
+        return 0
+    sizes = np.bincount(words)
+    run = int(np.ceil(part * len(sizes)))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return int((ends[run:] - ends[: len(ends) - run]).min())
 
 
 def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,13 +145,17 @@ def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.
         slot = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ranges[where], many)
         item, row = items[slot], rows[maybe[source]].astype(np.int64)
         diagonal = maybe[source] - at[row] - places[slot]
-        for shift in (0, BAND // 2):
-            band = (diagonal + shift) // BAND
+        width = index.bands[item]
+        for half in (0, 1):
+            shift = half * (width // 2)
+            band = (diagonal + shift) // width
             key = (row * len(index.ids) + item) * (1 << 28) + (band + (1 << 27))
             keys, n = np.unique(key, return_counts=True)
             b, pair = (keys & ((1 << 28) - 1)) - (1 << 27), keys >> 28
             enough = n >= index.least[pair % len(index.ids)]
-            found.append(np.stack([pair[enough] // len(index.ids), pair[enough] % len(index.ids), b[enough] * BAND - shift + BAND // 2]))
+            of = pair[enough] % len(index.ids)
+            wide = index.bands[of]
+            found.append(np.stack([pair[enough] // len(index.ids), of, b[enough] * wide - half * (wide // 2) + wide // 2]))
     if not found:
         return (np.zeros(0, np.int64),) * 3
     row, item, middle = np.concatenate(found, axis=1)
@@ -216,7 +237,7 @@ def _leaks(index: ItemIndex, part: float, budget: float):
                 b = min(a + 64, len(row))
                 while b > a + 1 and (b - a) * len(index.letters[item[b - 1]]) > 1 << 15:
                     b = a + (b - a) // 2
-                found = stretches(index, letters, word, at, row[a:b], item[a:b], middle[a:b], part, budget)
+                found = stretches(index, letters, word, at, row[a:b], item[a:b], middle[a:b], part, budget, int(index.bands[item[a:b]].max()))
                 held = np.flatnonzero(found)
                 out_row.append(row[a:b][held])
                 out_item.append(item[a:b][held])
@@ -231,7 +252,9 @@ def _leaks(index: ItemIndex, part: float, budget: float):
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", part: float = 0.5, budget: float = 0.15) -> DataFrame:
     """Rows (``item_key``, ``key``, ``share``): the document holds the item, or one stretch of at least ``part`` of it.
 
-    ``share`` is the part of the item's words (characters, for Han) in the stretch. ``budget`` is the part of words that
+    ``share`` is the part of the item's words (characters, for Han) in the stretch, which begins at the beginning of a word;
+    as blanks do not count, its last word may go on in the document. Long items cost much: their bands, and with them the
+    alignment, grow with the letters that ``budget`` lets shift. ``budget`` is the part of words that
     may be changed within it. The items are a fixed, small set: more than MOST_ITEMS is an error, as they are sent to
     every executor. Documents are read whole in one pass without an exchange of texts. Null or empty items and documents
     have no result; repeated documents with one key, and an item found at several places of a document, give one row.

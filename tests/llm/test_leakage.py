@@ -91,3 +91,28 @@ def test_changed_words_in_partial_leaks(spark):
     i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(x["item_id"], x["doc_id"]) for x in leaked_items(d, i).collect()}
     assert got == truth
+
+
+def test_items_shorter_than_a_gram(spark):
+    """Items of a word or a few characters are found whole, from the beginning of a word, and in half."""
+    items = spark.createDataFrame([(1, "Skyr"), (2, "买牛奶"), (3, "a"), (4, "!"), (5, "мляко сирене")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Plain SKYR, 150 g"), (2, "我去买牛奶。"), (3, "Skyrs and skyrocket"), (4, "a b"), (5, "Прясно мляко"), (6, "")], "doc_id long, text string")
+    assert {(r["item_id"], r["doc_id"]) for r in leaked_items(docs, items).collect()} == {(1, 1), (1, 3), (2, 2), (3, 3), (3, 4), (5, 5)}  # blanks do not count, so a word may go on
+
+
+def test_recall_within_the_budget(spark):
+    """Every k-th word changed, to words as long or longer, at all lengths of items."""
+    import random
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghiklmnopr") for _ in range(n))
+    items, docs = [], []
+    for n in (1, 3, 10, 40, 120, 240):
+        for k, longer in ((0, 0), (12, 0), (7, 0), (12, 8)):
+            i = len(items)
+            own = [word(r.randint(3, 9)) for _ in range(n)]
+            items.append((i, " ".join(own)))
+            docs.append((i, " ".join([*(word(6) for _ in range(20)), *(word(len(w) + longer).upper() if k and j % k == k // 2 else w for j, w in enumerate(own)), *(word(6) for _ in range(20))])))
+    got = {(x["item_id"], x["doc_id"]) for x in leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    whole = {(i, i) for i, x in items if len(x.split()) > 1 or docs[i][1].find(x) >= 0}
+    assert whole <= got and sum(a != b for a, b in got) <= 3
