@@ -252,8 +252,8 @@ def _leaks(index: ItemIndex, part: float, budget: float):
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", part: float = 0.5, budget: float = 0.15) -> DataFrame:
     """Rows (``item_key``, ``key``, ``share``): the document holds the item, or one stretch of at least ``part`` of it.
 
-    ``share`` is the part of the item's words (characters, for Han) in the stretch, which begins at the beginning of a word;
-    as blanks do not count, its last word may go on in the document. Long items cost much: their bands, and with them the
+    ``share`` is the part of the item's words (characters, for Han) in the stretch. Blanks do
+    not count, so its first and last word may be parts of longer ones. Long items cost much: their bands, and with them the
     alignment, grow with the letters that ``budget`` lets shift. ``budget`` is the part of words that
     may be changed within it. The items are a fixed, small set: more than MOST_ITEMS is an error, as they are sent to
     every executor. Documents are read whole in one pass without an exchange of texts. Null or empty items and documents
