@@ -25,8 +25,8 @@ from marketgrain.session import cut, shuffle_width
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern by which byte-level vocabularies split text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Buckets of the prefix sums.
-BUCKETS = 1024
+#: Documents of one bucket of the prefix sums, on average.
+BUCKET_ROWS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -45,7 +45,7 @@ def token_counts(text: Column, path: str = TOKENIZER) -> Column:
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _encoding(path)
         for texts in parts:
-            yield texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0).astype("int32")
+            yield pd.Series([len(x) for x in encoding.encode_ordinary_batch([t or "" for t in texts], num_threads=1)], dtype="int32")
 
     return count(text)
 
@@ -57,7 +57,7 @@ def source_key(source: Column) -> Column:
 
 def _prefix_sums(docs: DataFrame) -> DataFrame:
     """``docs`` with ``before``: tokens of the source's documents that come before, in order of hash and key."""
-    docs = docs.withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)))
+    docs = docs.withColumn("bucket", F.pmod(F.col("h"), F.lit(max(64, docs.count() // BUCKET_ROWS))))  # docs is a written table
     sums = docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("base"))
@@ -67,17 +67,24 @@ def _prefix_sums(docs: DataFrame) -> DataFrame:
 
 
 def mixture_plan(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """One row per target source: ``have`` tokens, ``share``, ``max_repeats``, ``total`` and ``need`` of the mixture.
+    """One row per target source: ``have`` tokens, ``share``, ``max_repeats``, ``total`` and ``need`` of the mixture, and ``state``.
 
-    Without ``total`` the mixture is the largest one in which every source reaches its share within its repeats. With a
-    larger ``total`` a source delivers what it can, and the report shows the shortfall.
+    Without ``total`` the mixture is the largest one in which every source that has documents reaches its part of the
+    shares within its repeats; a source that bounds it is ``binding``, the others have ``spare``. Sources without documents
+    are ``missing``: their share is spread over the others in proportion, and the report shows it. With a larger ``total`` a
+    source delivers what it can; it is ``short``.
     """
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have"))
     wanted = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").alias("share"), "max_repeats").where("share > 0").dropDuplicates(["source"])
     plan = wanted.join(have, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     most = F.col("have") * F.col("max_repeats")
-    size = F.lit(float(total)) if total is not None else F.min(most / F.col("share")).over(Window.partitionBy())  # a row per source
-    return plan.withColumn("total", size).withColumn("need", F.least(F.col("total") * F.col("share"), most.cast("double")))
+    every = Window.partitionBy()  # a row per source
+    plan = plan.withColumn("part", F.when(F.col("have") > 0, F.col("share") / F.sum(F.when(F.col("have") > 0, F.col("share"))).over(every)))
+    size = F.lit(float(total)) if total is not None else F.min(most / F.col("part")).over(every)
+    plan = plan.withColumn("total", size).withColumn("need", F.coalesce(F.least(F.col("total") * F.col("part"), most.cast("double")), F.lit(0.0)))
+    full = F.col("need") >= most - 0.5
+    state = F.when(F.col("have") == 0, "missing").when(F.col("need") < F.col("total") * F.col("part") - 0.5, "short").when(full, "binding").otherwise("spare")
+    return plan.withColumn("state", state)
 
 
 def schedule_time(part: Column, slope: Column) -> Column:
@@ -96,7 +103,8 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     Mixture: ``key``, ``source``, ``tokens``, ``use`` (1 to max_repeats) and ``position`` (0 to 1), sorted by position
     over its partitions. A use is taken while at least half of its tokens lie within the source's need, so each source
     misses its need by at most half a document. Report: ``source``, ``target_share``, ``actual_share``, ``tokens``,
-    ``documents``, ``uses``. ``slopes`` gives sources a rising (> 0) or falling (< 0) weight, from -1 to 1; by default
+    ``documents``, ``uses`` and ``state`` (``binding``: this source bounds the mixture, ``spare``, ``short`` of a given total, or
+    ``missing``: no documents, the others share its part). ``slopes`` gives sources a rising (> 0) or falling (< 0) weight, from -1 to 1; by default
     heavily repeated sources rise and the others fall. Documents of sources without a target, and empty or null texts,
     are not used. Repeated rows are documents of their own; an empty table gives an empty mixture.
     """
@@ -119,6 +127,6 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     mixture = placed.repartitionByRange(shuffle_width(documents.sparkSession), "position", "key", "use").sortWithinPartitions("position", "key", "use")
     by = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_distinct("key").alias("documents"), F.count("*").alias("uses"))
     all_tokens = F.sum("tokens").over(Window.partitionBy())
-    report = plan.select("source", F.col("share").alias("target_share")).join(by, "source", "left").na.fill(0, ["tokens", "documents", "uses"])
-    report = report.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), all_tokens), F.lit(0.0)).alias("actual_share"), "tokens", "documents", "uses")
+    report = plan.select("source", F.col("share").alias("target_share"), "state").join(by, "source", "left").na.fill(0, ["tokens", "documents", "uses"])
+    report = report.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), all_tokens), F.lit(0.0)).alias("actual_share"), "tokens", "documents", "uses", "state")
     return mixture.withColumnRenamed("key", key), report

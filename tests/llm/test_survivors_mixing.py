@@ -115,6 +115,31 @@ def test_large_total_reports_the_shortfall(spark):
     assert got == {"a": have["a"], "b": have["b"]}
 
 
+def test_missing_and_binding_sources(spark):
+    """A target source without documents does not empty the mixture; the report names it and the source that bounds it."""
+    docs = corpus(spark)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.1, 1), ("nowhere", 0.4, 3)], "source string, target_share double, max_repeats int")
+    mixture, report = mix(docs, targets)
+    got = {r["source"]: r for r in report.collect()}
+    assert got["nowhere"]["state"] == "missing" and got["nowhere"]["tokens"] == 0 and got["nowhere"]["actual_share"] == 0
+    assert abs(got["a"]["actual_share"] - 5 / 6) < 0.005 and abs(got["b"]["actual_share"] - 1 / 6) < 0.005
+    assert {got["a"]["state"], got["b"]["state"]} == {"binding", "spare"}
+    assert mixture.count() == sum(r["uses"] for r in got.values())
+    short = {r["source"]: r["state"] for r in mix(docs, targets, total=10**7)[1].collect()}
+    assert short == {"a": "short", "b": "short", "nowhere": "missing"}
+    # against the definition: documents in the order of their hash, each used while half of it lies within the need
+    one = mix(docs.where("source IN ('a', ' A')"), spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"), total=9000)
+    rows = one[0].orderBy("use", "position").collect()
+    begin, expected = 0, []
+    for x in rows:
+        if begin + x["tokens"] / 2 <= 9000:
+            expected.append((x["doc_id"], x["use"]))
+        t = begin / 9000
+        assert x["position"] == pytest.approx((t * 2 / (0.5 + (0.25 + 2 * t) ** 0.5)), abs=1e-9)
+        begin += x["tokens"]
+    assert [(x["doc_id"], x["use"]) for x in rows] == expected and abs(begin - 9000) < 60
+
+
 def test_mixing_edges(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
