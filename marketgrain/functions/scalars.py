@@ -121,7 +121,8 @@ def repair_mixed_script(text: Column) -> Column:
 
 
 def euro(leva: Column, rate: float = 1.95583) -> Column:
-    return F.round(leva / F.lit(rate), 2)
+    """Leva in euro, in hundredths, halves upwards."""
+    return F.floor(leva / F.lit(rate) * 100 + 0.5) / 100
 
 
 def week_start(moment: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketgrain.operators.dedupe import keep_best
+
 
 def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows in ``order``, with ``place``; only these rows reach the one task that numbers them."""
@@ -14,16 +16,31 @@ def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(w))
 
 
+def unique_top(df: DataFrame, key: str, order: Sequence[Column], n: int, least: int = 1) -> DataFrame:
+    """The best row of each of the first ``n`` keys in ``order``, with ``place``; none if there are fewer than ``least``.
+
+    The best row of a key is kept first, on the map side where it can be; rows without a key are left out.
+    """
+    best = keep_best(df.where(F.col(key).isNotNull()), [key], order)
+    ranked = top(best, order, n)
+    return ranked if least <= 1 else ranked.withColumn("_n", F.count("*").over(Window.partitionBy())).where(F.col("_n") >= least).drop("_n")
+
+
 def share_of_best(ranked: DataFrame, value: str) -> DataFrame:
     """A top report with ``bar``: the value in whole percent of the best."""
     return ranked.withColumn("bar", F.floor(F.col(value) / F.max(value).over(Window.partitionBy()) * 100 + 0.5).cast("int"))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 36) -> DataFrame:
-    """Page ``number`` (from 1) of the rows in ``order``; a number beyond the last page gives the last one."""
-    pages = max(1, -(-df.count() // size))
-    number = min(max(1, number), pages)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """Page ``number`` (from 1) of the rows in ``order``; a number beyond the last page gives the last one.
+
+    Nothing is counted beforehand: the rows up to the page's end are taken, and where they are fewer, their last page is
+    the last one.
+    """
+    number = max(1, number)
+    w = Window.orderBy(*order)
+    rows = df.orderBy(*order).limit(number * size).withColumn("_page", F.floor((F.row_number().over(w) - 1) / size) + 1)
+    return rows.withColumn("_last", F.max("_page").over(Window.partitionBy())).where(F.col("_page") == F.least(F.lit(number), F.col("_last"))).drop("_page", "_last").orderBy(*order)
 
 
 def page_of(df: DataFrame, order: Sequence[Column], row: Column, size: int = 36) -> DataFrame:

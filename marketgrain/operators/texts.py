@@ -100,3 +100,24 @@ def promoted_stems(df: DataFrame, name: str, member: str, known: DataFrame, stem
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
     stems = seen.withColumn(stem, F.left(longest, F.lit(letters))).where(F.col(stem).isNotNull())
     return stems.groupBy(stem).agg(F.sum("n").alias("n"), F.max("members").alias("members")).join(known.select(stem), stem, "left_anti")
+
+
+def weighted_search(df: DataFrame, key: str, weights: dict[str, float], wanted: str, threshold: float = 0.28, least: int = 2) -> DataFrame:
+    """Rows (``key``, ``score``) of which a column holds a word near ``wanted``; a score is better the lower it is.
+
+    The distance of a column is the least edit distance of its words to the wanted one, for each of its letters; columns
+    within ``threshold`` count with their weight in a product of powers. Shorter requests than ``least`` find nothing;
+    nulls and empty texts are not near anything.
+    """
+    word = wanted.strip().lower()
+    if len(word) < least:
+        return df.select(key, F.lit(1.0).alias("score")).limit(0)
+
+    def part(column: str, weight: float) -> Column:
+        words = F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        far = F.least(F.array_min(F.transform(words, lambda w: F.levenshtein(w, F.lit(word)))) / float(len(word)), F.lit(1.0))
+        return F.when(far <= threshold, F.struct((weight * F.log(F.greatest(far, F.lit(0.001)))).alias("x")))
+
+    parts = F.array_compact(F.array(*[part(c, w) for c, w in weights.items()]))
+    scored = df.select(key, parts.alias("_p")).where(F.size("_p") > 0)
+    return scored.select(key, F.exp(F.aggregate("_p", F.lit(0.0), lambda a, x: a + x["x"])).alias("score"))

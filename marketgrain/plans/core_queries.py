@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketgrain.functions import rules, scalars
@@ -153,11 +153,12 @@ def points_in_band(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("event_id", F.col("r_event_id").alias("near_id"))
 
 
-@query("""WITH g AS (SELECT category, macros.p AS p, macros.f AS f, macros.c AS c, min(ord) AS ord FROM offers WHERE macros.ingredients IS NOT NULL AND macros.p >= 0 AND macros.f >= 0 AND macros.c >= 0 AND category IS NOT NULL GROUP BY ALL),
-l AS (SELECT category, round(avg(macros.p), 6) AS p, round(avg(macros.f), 6) AS f, round(avg(macros.c), 6) AS c FROM offers WHERE macros.p >= 0 AND macros.f >= 0 AND macros.c >= 0 AND category IS NOT NULL GROUP BY category)
-SELECT l.category, arg_min(g.ord, (round(abs(l.p - g.p) + abs(l.f - g.f) + abs(l.c - g.c), 4), g.ord)) AS nearest FROM l JOIN g ON l.category = g.category GROUP BY l.category""")
+@query("""WITH o AS (SELECT ord, category, macros.p AS p, macros.f AS f, macros.c AS c, macros.ingredients AS i FROM offers WHERE macros.p >= 0 AND macros.f >= 0 AND macros.c >= 0 AND category IS NOT NULL),
+g AS (SELECT category, p, f, c, min(ord) AS ord FROM o WHERE i IS NOT NULL GROUP BY ALL), l AS (SELECT DISTINCT category, p, f, c FROM o),
+n AS (SELECT l.category, l.p, l.f, l.c, arg_min(g.ord, (abs(l.p - g.p) + abs(l.f - g.f) + abs(l.c - g.c), g.ord)) AS nearest FROM l JOIN g ON l.category = g.category GROUP BY ALL)
+SELECT o.ord, o.category, n.nearest FROM o LEFT JOIN n ON o.category = n.category AND o.p = n.p AND o.f = n.f AND o.c = n.c""")
 def nearest_by_macros(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest offer with ingredients, of the same category, of every offer with macros (its SQL asks for category averages only)."""
+    """Nearest offer with ingredients, of the same category, of every offer with macros."""
     o = table(spark, d, "offers").where("macros.p >= 0 AND macros.f >= 0 AND macros.c >= 0 AND category IS NOT NULL").select("ord", "category", "macros.*")
     point = ["category", *"pfc"]
     left = o.groupBy(*point).agg(F.min("ord").alias("first"))
@@ -166,15 +167,7 @@ def nearest_by_macros(spark: SparkSession, d: str) -> DataFrame:
     return o.join(near, point, "left").select("ord", "category", "nearest")
 
 
-@query(None)
-def fuzzy_names_between_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Best product name of each brochure title and part name; difflib's ratio has no SQL."""
-    parts = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("a", F.col("name"))
-    other = table(spark, d, "part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))).alias("b_name")).distinct()
-    return joins.fuzzy_best(parts, other, "a", "name", "b_name", "b_name", 0.3)
-
-
-@query("""WITH d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-14', INTERVAL 1 DAY))::DATE AS day), t AS (SELECT DISTINCT event_type FROM events),
+@query("""WITH d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events), t AS (SELECT DISTINCT event_type FROM events),
 c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)
 SELECT t.event_type, d.day, coalesce(c.n, 0) AS n FROM t CROSS JOIN d LEFT JOIN c ON c.event_type = t.event_type AND c.day = d.day""")
 def events_on_every_day(spark: SparkSession, d: str) -> DataFrame:
@@ -314,6 +307,9 @@ def protein_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank.share_of_best(rank.top(rows, [F.desc("p"), F.col("ord")], 10), "p").select("ord", "p", F.col("place").cast("bigint").alias("place"), "bar")
 
 
+# adjusted protein for a euro, 0 where it is not known
+_UNIT = "coalesce(CASE WHEN price_per_kg > 0 AND NOT isnan(price_per_kg) THEN price_per_kg END, new_price / CASE WHEN weight_grams > 0 THEN CAST(weight_grams AS DOUBLE) END * 1000)"
+_VALUE = f"coalesce(CASE WHEN macros.p >= 1 AND {_UNIT} > 0 THEN macros.p * 10 / ({_UNIT}) * (macros.p / (macros.p + coalesce(macros.f, 0) + coalesce(macros.c, 0))) * 1.0 * 1.0 * 1.95583 END, 0)"
 _VALID = r"regexp_matches(name, '^[\p{L}\p{N}]') AND new_price IS NOT NULL AND NOT isnan(new_price)"
 
 
@@ -322,7 +318,7 @@ def search_in_category(spark: SparkSession, d: str) -> DataFrame:
     return offers_query(table(spark, d, "offers"), category="dairy", search=" Скир ").select("ord", "name")
 
 
-@query(f"SELECT ord FROM offers WHERE {_VALID} ORDER BY CASE WHEN is_healthy THEN coalesce(health_score, 0) ELSE 0 END DESC, new_price, ord LIMIT 36 OFFSET 36")
+@query(f"SELECT ord FROM offers WHERE {_VALID} ORDER BY CASE WHEN is_healthy THEN coalesce(health_score, 0) ELSE 0 END DESC, {_VALUE} DESC, new_price, ord LIMIT 36 OFFSET 36")
 def second_page_recommended(spark: SparkSession, d: str) -> DataFrame:
     return offers_query(table(spark, d, "offers"), page=2).select("ord")
 
@@ -340,20 +336,16 @@ def active_on_a_day(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT ord, row_number() OVER (ORDER BY coalesce(discount_pct, 0) DESC, new_price, ord) AS n FROM offers WHERE {_VALID}) SELECT CAST((n - 1) // 36 + 1 AS BIGINT) AS number FROM s WHERE ord = (SELECT min(ord) FROM offers WHERE {_VALID} AND discount_pct = 25)""")
 def page_of_an_offer(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "offers").where(valid())
-    first = rows.where("discount_pct = 25").agg(F.min("ord").alias("_first"))
-    keyed = rows.select("ord", F.col("new_price"), (-F.coalesce("discount_pct", F.lit(0))).alias("k"))
-    wanted = keyed.join(F.broadcast(first), F.col("ord") == F.col("_first")).select(F.struct("k", "new_price", "ord").alias("_w"))
-    before = keyed.select(F.struct("k", "new_price", "ord").alias("_k")).join(F.broadcast(wanted), F.col("_k") < F.col("_w")).agg(F.count("*").alias("n"))
-    return before.select((F.floor(F.col("n") / 36) + 1).cast("bigint").alias("number"))
+    first = rows.where("discount_pct = 25").agg(F.min("ord")).first()[0]
+    return rank.page_of(rows, [-F.coalesce("discount_pct", F.lit(0)), F.col("new_price"), F.col("ord")], F.col("ord") == F.lit(first))
 
 
 @query("""SELECT ord, row_number() OVER (PARTITION BY lower(trim(store)) ORDER BY coalesce(discount_pct, 0) DESC, new_price, ord) AS place FROM offers WHERE NOT isnan(new_price) QUALIFY place <= 3""")
 def top_discounts_of_store(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "offers").where(~F.isnan("new_price"))
-    w = Window.partitionBy(F.lower(F.trim("store"))).orderBy(F.coalesce("discount_pct", F.lit(0)).desc(), "new_price", "ord")
-    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 3").select("ord", "place")
+    rows = table(spark, d, "offers").where(~F.isnan("new_price")).withColumn("s", F.lower(F.trim("store")))
+    order = [F.coalesce("discount_pct", F.lit(0)).desc(), F.col("new_price"), F.col("ord")]
+    kept = history.retain_last(rows, ["s"], order, 3)
+    return kept.select("ord", F.row_number().over(Window.partitionBy("s").orderBy(*order)).cast("bigint").alias("place"))
 
 
 # --- texts, rules, scalars ------------------------------------------------------------------------------------------
@@ -403,11 +395,9 @@ def events_by_week(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(scalars.week_start(F.col("ts")).alias("week"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT ord, CAST(round(new_price / 1.95583, 2) AS DOUBLE) AS eur FROM offers WHERE NOT isnan(new_price) AND abs(new_price / 1.95583 * 100 - floor(new_price / 1.95583 * 100) - 0.5) > 1e-6""")
+@query("""SELECT ord, floor(new_price / 1.95583 * 100 + 0.5) / 100 AS eur FROM offers WHERE NOT isnan(new_price)""")
 def prices_in_euro(spark: SparkSession, d: str) -> DataFrame:
-    part = F.col("new_price") / 1.95583 * 100
-    rows = table(spark, d, "offers").where(~F.isnan("new_price") & (F.abs(part - F.floor(part) - 0.5) > 1e-6))  # ties of rounding differ between engines
-    return rows.select("ord", scalars.euro(F.col("new_price")).alias("eur"))
+    return table(spark, d, "offers").where(~F.isnan("new_price")).select("ord", scalars.euro(F.col("new_price")).alias("eur"))
 
 
 @query("""SELECT c_custkey, CAST((CASE WHEN c_acctbal < 0 THEN 3 ELSE 0 END) + (CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS INTEGER) AS risk, CAST((CASE WHEN c_acctbal > 5000 THEN 2 ELSE 0 END) + (CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS INTEGER) AS value,
@@ -431,9 +421,9 @@ def documents_in_chunks(spark: SparkSession, d: str) -> DataFrame:
     return texts.pack(docs, "source", "doc_id", "size").groupBy("source", "chunk").agg(F.count("*").alias("texts"), F.sum("size").alias("characters"))
 
 
-@query("""SELECT url, store FROM brochures WHERE (valid_from IS NULL OR valid_from <= DATE '2025-03-10') AND (valid_until IS NULL OR valid_until >= DATE '2025-03-10') AND valid_from IS NOT NULL AND valid_until IS NOT NULL""")
+@query(None)
 def brochures_on_a_day(spark: SparkSession, d: str) -> DataFrame:
-    """Active brochures of the day, days read from titles too, and the first of each store without one (its SQL asks only for rows with both days)."""
+    """Active brochures of the day, days read from titles too, and the first of each store without one; tested by brute force."""
     return active_brochures(table(spark, d, "brochures"), "2025-03-10").select("url", "store", "active")
 
 
@@ -452,11 +442,14 @@ _ORDERS = {
     "protein": "coalesce(macros.p, 0) DESC",
     "price_asc": "is_healthy DESC, new_price",
     "discount_desc": "coalesce(discount_pct, 0) DESC, new_price",
-    "store": "lower(trim(store)), coalesce(discount_pct, 0) DESC",
+    "store": "lower(trim(store)) COLLATE bg, coalesce(discount_pct, 0) DESC",
     "valid_until": "valid_until NULLS LAST",
+    "health": "CASE WHEN is_healthy THEN coalesce(health_score, 0) ELSE 0 END DESC, new_price",
+    "protein_value": f"{_VALUE} DESC",
 }
+_IMPLIED = {"health": "is_healthy AND coalesce(health_score, 0) >= 6", "protein_value": "is_healthy AND is_high_protein"}
 for _sort, _order in _ORDERS.items():
-    query(f"SELECT ord FROM offers WHERE {_VALID} ORDER BY {_order}, ord LIMIT 36")(_listing(_sort))
+    query(f"SELECT ord FROM offers WHERE {_VALID} AND {_IMPLIED.get(_sort, 'true')} ORDER BY {_order}, ord LIMIT 36")(_listing(_sort))
 
 
 @query("""WITH t AS (SELECT url, regexp_extract(title, '([0-9]{1,2})\\.([0-9]{1,2})\\.([0-9]{4})', ['d', 'm', 'y']) AS x FROM brochures)
