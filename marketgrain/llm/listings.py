@@ -247,16 +247,23 @@ def sorted_neighbours(rows: DataFrame, compare, window: int = WINDOW, block: int
 class Name:
     """The tokens of a form with their counterparts; called with another one it gives their alignment.
 
-    Names without a common token are no pair (None).
+    Names of which neither holds one of the two rarest words of the other, nor a slip or counterpart of the rarest, are no
+    pair (None); tokens of a glossary are no words here, unless there is nothing else.
     """
 
     def __init__(self, body) -> None:
         self.tokens: Tokens = {t["w"]: (t["n"], {m["w"]: m["weight"] for m in t["meets"]} if t["meets"] is not None else {}) for t in body}
 
+        own = [w for w in self.tokens if w[0] != "="] or list(self.tokens)
+        self.leads = sorted(own, key=lambda w: (self.tokens[w][0], w))[:2]
+
     def __call__(self, other: Name) -> float | None:
-        if self.tokens.keys().isdisjoint(other.tokens.keys()):
-            return 1.0 if not self.tokens and not other.tokens else None
-        return soft_alignment(self.tokens, other.tokens)
+        x, y = self.tokens, other.tokens
+        if not x or not y:
+            return 1.0 if not x and not y else None
+        if not any(w in y for w in self.leads) and not any(w in x for w in other.leads) and _partner(self.leads[0], other.leads[0], x, y) < LEAST_WORST:
+            return None
+        return soft_alignment(x, y)
 
 
 def token_orders(forms: DataFrame) -> DataFrame:
