@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketgrain.session import cut, shuffle_width
+
 
 def keep_best(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``; null keys are a key of their own.
@@ -60,6 +62,16 @@ def promo_first(df: DataFrame, code: str, is_promo: Column, price: str, order: s
 
 
 def numbered_ids(df: DataFrame, base: str, order: Sequence[Column], out: str) -> DataFrame:
-    """``out``: the base id, with -2, -3, … for the further rows of one base in ``order``."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), n.cast("string"))))
+    """``out``: the base id, with -2, -3, … for the further rows of one base in ``order``.
+
+    Rows are range-partitioned by base and order and numbered within their partition; what stands before comes from the
+    counts of base and partition, so a hot base is spread over many tasks. Rows of equal order stay together.
+    """
+    spread = cut(df.repartitionByRange(shuffle_width(df.sparkSession), F.col(base), *order).withColumn("_p", F.spark_partition_id()))
+    counts = spread.groupBy(F.col(base).alias("_base"), F.col("_p").alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("_base").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_base", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rows = spread.withColumn("_n", F.row_number().over(Window.partitionBy(base, "_p").orderBy(*order)))
+    rows = rows.join(counts, rows[base].eqNullSafe(counts["_base"]) & (rows["_p"] == counts["_part"]))
+    n = F.col("_n") + F.col("_before")
+    return rows.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), n.cast("string")))).drop("_p", "_n", "_base", "_part", "_before")

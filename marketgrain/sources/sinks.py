@@ -31,11 +31,13 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def json_envelope(df: DataFrame, rows: str, order: list[str], extra: dict[str, str] | None = None) -> DataFrame:
+def json_envelope(df: DataFrame, rows: str, order: list[str], extra: dict[str, str] | None = None, most: int = 1_000_000) -> DataFrame:
     """One row ``value``: the document ``{extra…, "total": n, rows: [...]}``.
 
-    The document is one value, so this is for reports of bounded size; large results go to ``json_lines``.
+    The document is one value, so this is for reports: more than ``most`` rows are an error, large results go to ``json_lines``.
     """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one document; write JSON lines")
     listed = df.agg(F.count("*").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*df.columns).alias("r")))), lambda x: x["r"]).alias(rows))
     return listed.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in (extra or {}).items()], "total", rows)).alias("value"))
 

@@ -70,3 +70,25 @@ def test_weighted_search_and_history(spark):
     rows = [(i, f"име {i}", "s", "c", 1.0, 0, [1.0] * n) for i, n in enumerate((1, 3, 2))]
     listed = offers_query(spark.createDataFrame(rows, "ord long, name string, store string, category string, new_price double, discount_pct int, price_history array<double>"), sort="history")
     assert [r["ord"] for r in listed.collect()] == [1, 2, 0]
+
+
+def test_numbered_ids_of_a_hot_base(spark):
+    from marketgrain.operators.dedupe import numbered_ids
+
+    rows = [(i, "hot" if i % 3 else ("cold" if i % 2 else None)) for i in range(3000)]
+    got = {r["i"]: r["id"] for r in numbered_ids(spark.createDataFrame(rows, "i long, b string"), "b", [F.desc("i")], "id").collect()}
+    seen: dict = {}
+    for i, b in reversed(rows):
+        seen[b] = seen.get(b, 0) + 1
+        assert got[i] == (b if seen[b] == 1 else f"{b}-{seen[b]}" if b else str(seen[b]))
+    assert len(got) == 3000
+
+
+def test_envelope_is_bounded(spark):
+    import pytest
+
+    from marketgrain.sources.sinks import json_envelope
+
+    with pytest.raises(ValueError):
+        json_envelope(spark.range(11), "rows", ["id"], most=10)
+    assert json_envelope(spark.range(2), "rows", ["id"], most=10).first()["value"] == '{"total":2,"rows":[{"id":0},{"id":1}]}'
