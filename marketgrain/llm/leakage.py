@@ -129,8 +129,8 @@ def _shortest(words: np.ndarray, part: float) -> int:
     return int((ends[run:] - ends[: len(ends) - run]).min())
 
 
-def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, middle diagonal) of the bands that hold enough grams."""
+def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, middle diagonal, grams) of the bands that hold enough grams."""
     found = []
     for q, (values, ranges, items, places) in index.grams.items():
         if not len(values) or len(letters) < q:
@@ -155,11 +155,10 @@ def _candidates(index: ItemIndex, letters: np.ndarray, rows: np.ndarray, at: np.
             enough = n >= index.least[pair % len(index.ids)]
             of = pair[enough] % len(index.ids)
             wide = index.bands[of]
-            found.append(np.stack([pair[enough] // len(index.ids), of, b[enough] * wide - half * (wide // 2) + wide // 2]))
+            found.append(np.stack([pair[enough] // len(index.ids), of, b[enough] * wide - half * (wide // 2) + wide // 2, n[enough]]))
     if not found:
-        return (np.zeros(0, np.int64),) * 3
-    row, item, middle = np.concatenate(found, axis=1)
-    return row, item, middle
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(found, axis=1))
 
 
 def stretches(index: ItemIndex, letters: np.ndarray, word: np.ndarray, at: np.ndarray, row: np.ndarray, item: np.ndarray, middle: np.ndarray, part: float, budget: float, width: int = BAND) -> np.ndarray:
@@ -228,21 +227,29 @@ def _leaks(index: ItemIndex, part: float, budget: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             letters, rows, at, word = stream(batch.column(1))
-            row, item, middle = _candidates(index, letters, rows, at)
-            order = np.argsort([len(index.letters[i]) for i in item], kind="stable")
+            row, item, middle, grams = _candidates(index, letters, rows, at)
+            # bands overlap: of a pair the one with most grams is verified first, the others where it does not hold
+            order = np.lexsort((middle, -grams, item, row))
             row, item, middle = row[order], item[order], middle[order]
-            out_row, out_item, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            a = 0
-            while a < len(row):  # as many as fit some megabytes, items of one size together
-                b = min(a + 64, len(row))
-                while b > a + 1 and (b - a) * len(index.letters[item[b - 1]]) > 1 << 15:
-                    b = a + (b - a) // 2
-                found = stretches(index, letters, word, at, row[a:b], item[a:b], middle[a:b], part, budget, int(index.bands[item[a:b]].max()))
-                held = np.flatnonzero(found)
-                out_row.append(row[a:b][held])
-                out_item.append(item[a:b][held])
-                share.append(found[held])
-                a = b
+            pair = row * len(index.ids) + item
+            begins = np.flatnonzero(np.diff(pair, prepend=-1))
+            turn = np.arange(len(pair)) - np.repeat(begins, np.diff(np.append(begins, len(pair))))
+            held = np.zeros(len(pair), bool)  # of every candidate of a pair that was found
+            share = np.zeros(len(pair))
+            for t in range(int(turn.max()) + 1 if len(turn) else 0):
+                due = np.flatnonzero((turn == t) & ~held)
+                due = due[np.argsort([len(index.letters[i]) for i in item[due]], kind="stable")]
+                a = 0
+                while a < len(due):  # as many as fit some megabytes, items of one size together
+                    b = min(a + 64, len(due))
+                    while b > a + 1 and (b - a) * len(index.letters[item[due[b - 1]]]) > 1 << 15:
+                        b = a + (b - a) // 2
+                    x = due[a:b]
+                    share[x] = stretches(index, letters, word, at, row[x], item[x], middle[x], part, budget, int(index.bands[item[x]].max()))
+                    a = b
+                held = np.isin(pair, pair[due[share[due] > 0]]) | held
+            found = np.flatnonzero(share)
+            out_row, out_item, share = [row[found]], [item[found]], [share[found]]
             keys = batch.column(0).take(pa.array(np.concatenate(out_row), pa.int64()))
             yield pa.record_batch([keys, pa.array(np.concatenate(out_item), pa.int64()), pa.array(np.concatenate(share), pa.float64())], ["key", "item", "share"])
 
@@ -252,7 +259,7 @@ def _leaks(index: ItemIndex, part: float, budget: float):
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", part: float = 0.5, budget: float = 0.15) -> DataFrame:
     """Rows (``item_key``, ``key``, ``share``): the document holds the item, or one stretch of at least ``part`` of it.
 
-    ``share`` is the part of the item's words (characters, for Han) in the stretch. Blanks do
+    ``share`` is the part of the item's words (characters, for Han) in the stretch, that of the band with most grams in common. Blanks do
     not count, so its first and last word may be parts of longer ones. Long items cost much: their bands, and with them the
     alignment, grow with the letters that ``budget`` lets shift. ``budget`` is the part of words that
     may be changed within it. The items are a fixed, small set: more than MOST_ITEMS is an error, as they are sent to
