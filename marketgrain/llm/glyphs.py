@@ -241,7 +241,7 @@ _COUNT = "kind int, h long, script int, reading long, own int, share int, n long
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: counts of pure words (kind 0: h, script) and the readings of odd ones (kind 1)."""
     for batch in (part for whole in batches for part in slices(whole, 0)):
-        w = Words(*ordinary(*to_points(batch.column(0))))
+        w = Words(*to_points(batch.column(0)))
         out: list[list[np.ndarray]] = []
         key = np.stack([w.low[w.pure], w.own[w.pure]])
         if key.size:
@@ -261,7 +261,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def home_alphabets(df: DataFrame, text: str) -> DataFrame:
-    """Rows (form, home): word forms of ``text`` that are not written in the alphabet where they are at home.
+    """Rows (form, home): word forms of ``text``, in composed characters of normal width (steps 1 to 3), that are not written
+    in the alphabet where they are at home.
 
     Counts cover all rows. A word of one alphabet is moved only to a reading that is AT_HOME times as frequent; a word of
     mixed letters goes to its most frequent reading, with no reading known to the alphabet of most of its letters.
@@ -325,7 +326,7 @@ def ordinary_spelling(df: DataFrame, key: str, text: str) -> DataFrame:
     words = "words array<struct<place: int, length: int, form: bigint>>"
     spelled = rows.mapInArrow(_spell, f"row struct<key: {df.schema[key].dataType.simpleString()}>, text string, spelled string, {words}")
     spelled = cut(spelled.withColumn("at", F.monotonically_increasing_id()))
-    home = home_alphabets(df, text)
+    home = home_alphabets(spelled, "spelled")  # the written rows: texts are read and made ordinary once
     odd = spelled.where(F.size("words") > 0).select("at", F.explode("words").alias("w")).select("at", "w.place", "w.length", "w.form")
     moves = odd.join(home, "form").groupBy("at").agg(F.collect_list(F.struct("place", "length", "home")).alias("moves"))
     both = spelled.select("at", "row", "text", "spelled").join(moves, "at", "left").select("row", "text", "spelled", "moves")
