@@ -85,6 +85,9 @@ class _Known:
             entry = _Entry(name, sorted((frozenset(w.split()) for w in ways.split("|")), key=len, reverse=True))
             (self.entries[-1].varieties if line.startswith(" ") else self.entries).append(entry)
         self.ads = sorted(filter(None, (_WORD.findall(a.lower()) for a in glossary.advertising.split("|"))), key=len, reverse=True)
+        self.ads_by_first: dict[str, list[list[str]]] = {}
+        for ad in self.ads:
+            self.ads_by_first.setdefault(ad[0], []).append(ad)
         self.fillers = frozenset(glossary.fillers.split())
         self.words = self.fillers | {w for e in self.entries for x in [e, *e.varieties] for way in x.ways for w in way} | {w for a in self.ads for w in a}
         self.by_length: dict[int, list[str]] = {}
@@ -127,21 +130,27 @@ def _take(words: list[str], way: frozenset[str], meant: dict[str, frozenset[str]
 
 
 def _first(words: list[str], entries: list[_Entry], meant: dict[str, frozenset[str]]) -> tuple[_Entry | None, list[str]]:
+    held = {*words, *(k for w in words for k in meant.get(w, ()))}
     for e in entries:
         for way in e.ways:
-            if (rest := _take(words, way, meant)) is not None:
+            if way <= held and (rest := _take(words, way, meant)) is not None:
                 return e, rest
     return None, words
 
 
-def _no_ads(words: list[str], ads: list[list[str]], meant: dict[str, frozenset[str]]) -> list[str]:
+def _no_ads(words: list[str], ads: dict[str, list[list[str]]], meant: dict[str, frozenset[str]]) -> list[str]:
+    """``words`` without phrases of ``ads`` (by first word), the longest first, each word as it is or as a slip."""
     out: list[str] = []
     i = 0
     same = lambda x, w: x == w or w in meant.get(x, ())
     while i < len(words):
-        ad = next((a for a in ads if len(words) - i >= len(a) and all(same(x, w) for x, w in zip(words[i : i + len(a)], a, strict=True))), None)
-        if ad:
-            i += len(ad)
+        longest = 0
+        for first in (words[i], *meant.get(words[i], ())):
+            for ad in ads.get(first, ()):
+                if longest < len(ad) <= len(words) - i and all(same(x, w) for x, w in zip(words[i : i + len(ad)], ad, strict=True)):
+                    longest = len(ad)
+        if longest:
+            i += longest
         else:
             out.append(words[i])
             i += 1
@@ -150,6 +159,10 @@ def _no_ads(words: list[str], ads: list[list[str]], meant: dict[str, frozenset[s
 
 def _sign(word: str) -> str:
     letter = next((c for c in word if c.isalpha()), " ")
+    if "a" <= letter <= "z":
+        return "l"
+    if "а" <= letter <= "я":
+        return "c"
     return "c" if "CYRILLIC" in (n := unicodedata.name(letter, "")) else "l" if "LATIN" in n else "n"
 
 
@@ -166,14 +179,14 @@ def name_tokens(name: str | None, glossary: Glossary = GLOSSARY) -> tuple[str, l
     shares = [m.replace(",", ".") for m in _PERCENT.findall(text)]
     shares = [m.rstrip("0").rstrip(".") if "." in m else m for m in shares]
     words = _WORD.findall(unicodedata.normalize("NFC", _CONTENT.sub(" ", _PERCENT.sub(" ", text))))
-    plain = _no_ads(words, known.ads, {})
+    plain = _no_ads(words, known.ads_by_first, {})
     odd = [w for w in dict.fromkeys(plain) if w not in known.words and not w[0].isdigit() and len(w) > 1]
     meant = {w: s for w in odd if (s := known.slips(w))} if len(odd) > 1 else {}
     if meant and len(meant) == len(odd):
         del meant[max(odd, key=len)]
     readings = []
     for slips in ({}, meant) if meant else ({},):
-        left = _no_ads(plain, known.ads, slips) if slips else plain
+        left = _no_ads(plain, known.ads_by_first, slips) if slips else plain
         food, left = _first(left, known.entries, slips)
         variety, left = _first(left, food.varieties, slips) if food else (None, left)
         left = [w for w in left if not known.slips(w) & known.fillers or w not in slips]
