@@ -116,6 +116,7 @@ def additive_codes(text: Column) -> Column:
 
 def repair_mixed_script(text: Column) -> Column:
     """Words with a Cyrillic letter have their Latin look-alikes made Cyrillic; other words stay."""
+    # Latin letters and the Cyrillic ones that look like them, in one order.
     fixed = lambda w: F.when(w.rlike("[\\u0400-\\u04ff]"), F.translate(w, "ABCEHKMOPTXYabceopxy", "АВСЕНКМОРТХУавсеорху")).otherwise(w)
     return F.array_join(F.transform(F.split(text, " "), fixed), " ")
 

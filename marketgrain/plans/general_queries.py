@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketgrain.functions import metrics
+from marketgrain.functions import metrics, scalars
 from marketgrain.operators import joins, rank, texts
 from marketgrain.plans.core_queries import _UNIT, _VALID, _VALUE
-from marketgrain.plans.offers_query import in_stores, offers_query, protein_for_money, valid
+from marketgrain.plans.offers_query import has_word, in_stores, offers_query, protein_for_money, valid
 from marketgrain.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,35 @@ def fuzzy_names_between_sources(spark: SparkSession, d: str) -> DataFrame:
     asked = _offers(spark, d).where("ord % 100 = 0 AND name IS NOT NULL").select(F.col("name").alias("asked")).distinct()
     names = table(spark, d, "all_products").where("name IS NOT NULL").select(F.col("name").alias("found")).distinct()
     return joins.fuzzy_best(asked, names, "asked", "asked", "found", "found", 0.3)
+
+
+@query(f"""WITH o AS (SELECT ord, lower(concat_ws(' ', name, store, category, array_to_string(diet_tags, ' '))) AS t FROM offers WHERE {_VALID})
+SELECT ord FROM o WHERE contains(t, 'skyr') OR contains(t, 'скир')""")
+def search_with_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """A search finds what any word of its synonym group is in."""
+    return offers_query(_offers(spark, d), search="Skyr", synonyms=[["скир", "skyr"], ["леща", "lentils"]]).select("ord")
+
+
+@query("""SELECT ord, array_to_string(list_transform(string_split(name, ' '), lambda w: CASE WHEN regexp_matches(w, '[Ѐ-ӿ]') THEN translate(w, 'ABCEHKMOPTXYabceopxy', 'АВСЕНКМОРТХУавсеорху') ELSE w END), ' ') AS repaired,
+replace(replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html, list_contains(string_split_regex(lower(name), '\\s+'), 'мляко') AS milk FROM offers WHERE name IS NOT NULL""")
+def names_repaired_and_escaped(spark: SparkSession, d: str) -> DataFrame:
+    """Names with look-alike letters repaired, escaped for HTML, and whether a word stands in them."""
+    name = F.col("name")
+    rows = _offers(spark, d).where("name IS NOT NULL").withColumn("low", F.lower("name"))
+    return rows.select("ord", scalars.repair_mixed_script(name).alias("repaired"), scalars.html_escape(name).alias("html"), has_word("low", "мляко").alias("milk"))
+
+
+@query("""WITH f AS (SELECT ord, list_distinct(list_transform(regexp_extract_all(macros.ingredients, '(?i)(?:^|[^\\p{L}\\p{N}_])[EЕ][ -]?([0-9]{3,4}[a-z]?)', 1), lambda x: upper(x))) AS c FROM offers WHERE macros.ingredients IS NOT NULL)
+SELECT ord, array_to_string(list_sort(list_transform(c, lambda x: 'E' || x)), ',') AS codes FROM f""")
+def codes_of_additives(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct codes of additives that the ingredients name."""
+    rows = _offers(spark, d).where("macros.ingredients IS NOT NULL")
+    return rows.select("ord", F.array_join(F.array_sort(scalars.additive_codes(F.col("macros.ingredients"))), ",").alias("codes"))
+
+
+@query(f"""WITH r AS (SELECT category, lower(trim(store)) AS s, new_price, ord, row_number() OVER (PARTITION BY lower(trim(store)) ORDER BY new_price, ord) AS n FROM offers WHERE {_VALID} AND category = 'legume')
+SELECT s, ord, row_number() OVER (ORDER BY new_price, ord) AS place FROM r WHERE n = 1 QUALIFY place <= 5""")
+def five_stores_compared(spark: SparkSession, d: str) -> DataFrame:
+    """The five cheapest stores of a category by their best row, only if there are several."""
+    rows = _offers(spark, d).where(valid() & (F.col("category") == "legume")).withColumn("s", F.lower(F.trim("store")))
+    return rank.unique_top(rows, "s", [F.col("new_price"), F.col("ord")], 5, least=2).select("s", "ord", F.col("place").cast("bigint").alias("place"))

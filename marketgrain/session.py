@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         spark.sparkContext.setCheckpointDir(shared)
     elif spark.sparkContext.master.startswith("local["):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marketgrain-"))
+        own = tempfile.mkdtemp(prefix="marketgrain-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
